@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, secret_scan, toxicity
+from . import bpe, html_text, quality, secret_scan, toxicity, warc
 from ._shared import table
 
 
@@ -33,6 +33,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +50,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op5_bpe": op5_bpe,
     "op7_secrets": op7_secrets,
+    "op8_html": op8_html,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
