@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import U64, _SPACE, batch_of, prefix_hash, row_index, slices, span_hash, word_spans
+from ._kernels import U64, _SPACE, batch_of, distinct, prefix_hash, row_index, slices, span_hash, word_spans
 from ._sampling import first_by_hash, held_out, labelled
 
 #: Bounds of the training sample, in documents.
@@ -57,11 +57,11 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     words, many = span_hash(h, starts, ends), np.maximum(count, 1)
     row = row_index(at)
 
-    def distinct(items: np.ndarray, rows_of: np.ndarray) -> np.ndarray:
-        keys = np.unique(rows_of.astype(U64) << U64(40) | items >> U64(24))
+    def kinds(items: np.ndarray, rows_of: np.ndarray) -> np.ndarray:
+        keys = distinct(rows_of.astype(U64) << U64(40) | items >> U64(24))
         return np.bincount((keys >> U64(40)).astype(np.int64), minlength=rows)
 
-    breaks = np.unique(np.concatenate([np.flatnonzero(buf == 10) + 1, offs[:-1]]))
+    breaks = distinct(np.concatenate([np.flatnonzero(buf == 10) + 1, offs[:-1]]))
     breaks = breaks[breaks < n]
     line_ends = np.append(breaks[1:], n)
     line_row = np.searchsorted(offs, breaks, "right") - 1
@@ -69,8 +69,8 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     again = np.concatenate([[False], (words[1:] == words[:-1]) & (row[1:] == row[:-1])])
     stats = [
         share(_UPPER[buf]), share(_DIGIT[buf]), share(_MARK[buf]), share(_SPACE[buf]), share(buf >= 128),
-        np.log1p(count) / 8, np.bincount(row, ends - starts, rows) / many / 10, distinct(words, row) / many,
-        distinct(span_hash(h, breaks, line_ends), line_row) / lines, np.minimum(lines / many, 1),
+        np.log1p(count) / 8, np.bincount(row, ends - starts, rows) / many / 10, kinds(words, row) / many,
+        kinds(span_hash(h, breaks, line_ends), line_row) / lines, np.minimum(lines / many, 1),
         np.bincount(row, again, rows) / many, np.bincount(row, _MARK[buf[ends - 1]], rows) / many if len(ends) else np.zeros(rows),
     ]
     flat = np.stack(stats, 1)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, quality, secret_scan, toxicity, warc
+from . import bpe, fingerprint, html_text, quality, secret_scan, toxicity, warc
 from ._shared import table
 
 
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
@@ -48,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_fingerprints": op3_fingerprints,
     "op5_bpe": op5_bpe,
     "op7_secrets": op7_secrets,
     "op8_html": op8_html,
