@@ -110,6 +110,24 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hash(prefix_hash(buf, lower=True), starts, ends), at
 
 
+#: Letters and digits of ASCII, and every byte of other characters.
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def text_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of lower-cased runs of letters and digits, and offsets by row."""
+    n = len(buf)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = _WORD[buf]
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    cut = offs[(offs > 0) & (offs < n)]
+    first[cut] |= inside[cut + 1]
+    last[cut - 1] |= inside[cut]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return span_hash(prefix_hash(buf, lower=True), starts, ends), np.searchsorted(starts, offs)
+
+
 def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each ``size``-word shingle and shingle offsets by row.
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_text, quality, secret_scan, toxicity, warc
+from . import bpe, decontaminate, fingerprint, html_text, line_dedup, quality, secret_scan, toxicity, warc
 from ._shared import table
 
 
@@ -29,6 +29,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
@@ -53,7 +61,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secrets": op7_secrets,
     "op8_html": op8_html,
     "op9_warc": op9_warc,
