@@ -105,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keepers = same.groupBy("hash", "bytes").agg(F.min("doc").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     # the bytes are compared here, once per chunk and document; a digest then names them
     gone = same.distinct().join(keepers, ["hash", "bytes"]).select("doc", "hash", F.md5("bytes").alias("md5"), (F.col("doc") == F.col("keeper")).alias("first"))
-    marks = stored(gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("hash", "md5", "first")).alias("_gone")), "line-copies")
+    marks = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("hash", "md5", "first")).alias("_gone"))
 
     schema = docs.schema
     kept = pa.schema([("n_chunks_removed", pa.int64()), ("n_chars_removed", pa.int64())])
