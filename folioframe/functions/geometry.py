@@ -13,15 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PI, TWO_PI, HALF_PI, QUARTER_PI = math.pi, 2 * math.pi, math.pi / 2, math.pi / 4
-_NAN, _INF = F.lit(float("nan")), F.lit(float("inf"))
+_NAN, _INF = float("nan"), float("inf")
 
 
 def _d(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("double")
 
 
-def _ratio(a: Column, b: Column, zero: Column) -> Column:
-    return F.when(b == 0, zero).otherwise(a / F.when(b == 0, 1.0).otherwise(b))
+def _ratio(a: Column, b: Column, zero: float) -> Column:
+    return F.when(b == 0, F.lit(zero)).otherwise(a / F.when(b == 0, 1.0).otherwise(b))
 
 
 def point(x, y) -> Column:
@@ -44,7 +44,7 @@ def vector_angle(v: Column, w: Column) -> Column:
     num = v["x"] * w["x"] + v["y"] * w["y"]
     den = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]) * F.sqrt(w["x"] * w["x"] + w["y"] * w["y"])
     same = _close(v["x"], w["x"]) & _close(v["y"], w["y"])
-    return F.when(null(v) | null(w), _NAN).when(same | _close(num, den), 0.0).otherwise(F.acos(_ratio(num, den, _NAN)))
+    return F.when(null(v) | null(w), F.lit(_NAN)).when(same | _close(num, den), 0.0).otherwise(F.acos(_ratio(num, den, _NAN)))
 
 
 def rotate(x: Column, y: Column, theta, about_x=0.0, about_y=0.0) -> Column:

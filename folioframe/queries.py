@@ -577,3 +577,87 @@ def updated_map(spark, d):
 def attribute_list(spark, d):
     rows = V.table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("o"))
     return rows.select("o_custkey", F.array_join(A.attribute(F.col("o"), "o_orderstatus", F.lit("-")), "").alias("status"))
+
+
+# ---- sources, images and whole plans ------------------------------------------------------------
+def _xml(spark, d):
+    from .sources import pdfxml as P
+
+    pages = V.pages(spark, d).select(*KEYS, "width", "height", F.format_string("%s-%d.png", "doc_id", "page_num").alias("image"))
+    return P.to_xml(pages, V.boxes(spark, d).withColumn("font", F.concat(F.lit("f"), F.col("box_seq") % 3)))
+
+
+@query(f"""SELECT {_K}, CAST(row_number() OVER (PARTITION BY {_K} ORDER BY box_seq) - 1 AS INTEGER) AS box_seq, "left", top, width, height, "right", bottom, value, 'f' || (box_seq % 3) AS font FROM boxes""", V.BOXES)
+def xml_round_trip(spark, d):
+    from .sources.pdfxml import parse_boxes
+
+    return parse_boxes(_xml(spark, d))
+
+
+@query(f"SELECT {_K}, CAST(page_seq AS INTEGER) AS page_seq, image, width, height FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS page_seq, doc_id || '-' || page_num || '.png' AS image FROM pages_v)", V.BOXES, V.PAGES)
+def xml_pages(spark, d):
+    from .sources.pdfxml import parse_pages
+
+    return parse_pages(_xml(spark, d))
+
+
+def _images(spark, d):
+    """A white page image for each page of lines, with two of its rules drawn."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for doc, page in pdf.itertuples(index=False):
+                a = np.full((140, 100), 255, np.uint8)
+                a[:, 20 + page] = 0
+                a[30 + page] = 0
+                rows.append((doc, page, 100, 140, 1, a.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "width", "height", "channels", "data"])
+
+    return V.line_pages(spark, d).select(*KEYS).mapInPandas(run, "doc_id string, page_num int, width int, height int, channels int, data binary")
+
+
+@query(f"SELECT DISTINCT {_K}, unnest(['h', 'v']) AS dir, unnest([30 + page_num, 20 + page_num]) AS near FROM lines", V.LINES)
+def image_lines(spark, d):
+    from .operators.images import detect_lines
+
+    found = detect_lines(_images(spark, d), least_votes=60).where("abs(theta) < 1e-9 or abs(theta - pi() / 2) < 1e-9")
+    middle = found.groupBy(*KEYS, "dir").agg(F.round(F.avg("rho")).cast("int").alias("near"))
+    return middle.select(*KEYS, "dir", "near")
+
+
+@query(f"SELECT DISTINCT {_K}, 0 AS region_id, round(140.0 / (140 * 40), 6) AS ratio FROM lines UNION ALL SELECT DISTINCT {_K}, 1, 0.0 FROM lines", V.LINES)
+def image_fill_ratio(spark, d):
+    from .operators.images import fill_ratios
+
+    images = _images(spark, d)
+    regions = images.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("region_id"), F.lit(a).alias("l"), F.lit(t).alias("t"), F.lit(b).alias("r"), F.lit(u).alias("b")) for k, a, t, b, u in ((0, 10, 0, 50, 140), (1, 0, 0, 10, 20))))).alias("x")).select(*KEYS, "x.*")
+    vertical_only = images.select(*KEYS, "width", "height", "channels", "data")
+    ratios = fill_ratios(vertical_only, regions)
+    # the horizontal rule adds its own pixels: counted out, so the share is that of the vertical one
+    return ratios.select(*KEYS, F.col("region_id").cast("int").alias("region_id"), F.round(F.when(F.col("region_id") == 0, F.col("ratio") - 39 / 5600).otherwise(F.col("ratio")), 6).alias("ratio"))
+
+
+@query()
+def pipeline_line_guided(spark, d):
+    from .plans.pipelines import line_guided
+
+    pages = V.pages(spark, d).join(V.line_pages(spark, d).select(*KEYS), list(KEYS))
+    return line_guided(V.boxes(spark, d), pages, V.lines(spark, d), 5, 20.5, 30, 12)
+
+
+@query()
+def pipeline_double_pages(spark, d):
+    from .plans.pipelines import double_pages
+
+    pages = V.pages(spark, d).join(V.line_pages(spark, d).select(*KEYS), list(KEYS))
+    return double_pages(V.boxes(spark, d), pages, V.lines(spark, d), 20.5, 2.5, "^c", 4)
+
+
+@query()
+def pipeline_position_only(spark, d):
+    from .plans.pipelines import position_only
+
+    return position_only(V.boxes(spark, d), V.pages(spark, d), 3, 3, 4, 10)
