@@ -56,6 +56,12 @@ def _key(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(_LOWEST))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with repeated chunks removed from the text, and
     ``n_chunks_removed`` and ``n_chars_removed`` (replacing columns of these names).
@@ -78,10 +84,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     found = docs.select(_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "hash long, doc long")
     again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    listed = stored(found.join(again, "hash").groupBy("doc").agg(F.collect_set("hash").alias("_hashes")), "line-hashes")
+    listed = stored(found.join(again, "hash").groupBy("doc").agg(F.collect_set("hash").alias("hashes")), "line-hashes")
 
     # both joins below read one exchange of the documents
-    keyed = docs.withColumn("_doc", _key(id_col))
+    doc, hashes, gone_col = (_free(n, names) for n in ("_doc", "_hashes", "_gone"))
+    keyed = docs.withColumn(doc, _key(id_col))
     copies = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())])
     width = len(names)
 
@@ -100,12 +107,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 raw = buf.tobytes()
                 yield batch_of(copies, signed[use], batch.column(width).slice(a, b - a).take(pa.array(row[use], pa.int64())), [raw[start[i] : end[i]] for i in use])
 
-    lists = listed.withColumnRenamed("doc", "_doc").hint("shuffle_hash")
-    same = keyed.join(lists, "_doc", "left").select(*names, "_doc", "_hashes").mapInArrow(copied, "hash long, doc long, bytes binary")
+    lists = listed.select(F.col("doc").alias(doc), F.col("hashes").alias(hashes)).hint("shuffle_hash")
+    same = keyed.join(lists, doc, "left").select(*names, doc, hashes).mapInArrow(copied, "hash long, doc long, bytes binary")
     keepers = same.groupBy("hash", "bytes").agg(F.min("doc").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     # the bytes are compared here, once per chunk and document; a digest then names them
     gone = same.distinct().join(keepers, ["hash", "bytes"]).select("doc", "hash", F.md5("bytes").alias("md5"), (F.col("doc") == F.col("keeper")).alias("first"))
-    marks = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("hash", "md5", "first")).alias("_gone"))
+    marks = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("hash", "md5", "first")).alias(gone_col))
 
     schema = docs.schema
     kept = pa.schema([("n_chunks_removed", pa.int64()), ("n_chars_removed", pa.int64())])
@@ -139,6 +146,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cols = [own.column(i) if i != place else pa.array(texts, own.schema.field(i).type) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(chars, pa.int64())], [*names, *kept.names])
 
-    joined = keyed.join(marks.hint("shuffle_hash"), "_doc", "left").select(*names, "_doc", "_gone")
+    joined = keyed.join(marks.hint("shuffle_hash"), doc, "left").select(*names, doc, gone_col)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return joined.mapInArrow(remove, f"{out}, n_chunks_removed long, n_chars_removed long")

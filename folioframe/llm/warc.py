@@ -32,12 +32,17 @@ _SPACE = uuid.UUID("6f6c696f-6672-616d-8000-000000000000").int >> 64 << 64
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=_SPACE | page_id & (1 << 64) - 1)}>"
+def record_id(page_id: int | None) -> str:
+    """A record id that carries the page id; null ids have a space of their own."""
+    n = _SPACE | page_id & (1 << 64) - 1 if page_id is not None else _SPACE + (1 << 64)
+    return f"<urn:uuid:{uuid.UUID(int=n)}>"
 
 
-def page_of(record: str) -> int:
-    n = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int & (1 << 64) - 1
+def page_of(record: str) -> int | None:
+    whole = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
+    if whole >> 64 != _SPACE >> 64:
+        return None
+    n = whole & (1 << 64) - 1
     return n - (1 << 64) if n >> 63 else n
 
 
@@ -45,7 +50,7 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_head(page_id: int, url: str | None, digest: str, size: int, refers: int | None) -> bytes:
+def record_head(page_id: int | None, url: str | None, digest: str, size: int, refers: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -97,8 +102,7 @@ def _prepared(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives; return the manifest (path, records).
 
-    Null html is an empty payload. A null page id is written as a response without a
-    number of its own (id 0 of the id space). Rows that repeat an id and a payload are all
+    Null html is an empty payload. A null page id is written as a response and read as null. Rows that repeat an id and a payload are all
     responses if the id is the largest of its group. Only files of tasks that ended are in the manifest.
     """
     spark = pages.sparkSession
@@ -123,7 +127,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
                 out = out or Archive(folder, TaskContext.get().partitionId())
                 payload = memoryview(html[i].as_buffer())
                 own = refers[i]
-                out.add(record_head(ids[i] or 0, urls[i], base32(digests[i]), len(payload), own), memoryview(b"") if own is not None else payload)
+                out.add(record_head(ids[i], urls[i], base32(digests[i]), len(payload), own), memoryview(b"") if own is not None else payload)
         if out is not None:
             done.append(out.close())
         yield batch_of(schema, [p for p, _ in done], [n for _, n in done])
