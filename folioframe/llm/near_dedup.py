@@ -4,9 +4,11 @@ Every document's shingle set gets a signature of POSITIONS b-bit MinHash symbols
 signature is split into CHUNKS chunks; two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 positions agree in some chunk up to ERRORS positions (pigeonhole), so
 each chunk is indexed under every choice of ERRORS wildcard positions and all such
-pairs meet in a bucket. Candidates are confirmed on the full sets. Equal sets are
-one node from the start, and a bucket is explored from a few members outwards,
-skipping pairs that are already connected, so groups of copies never make all pairs.
+pairs meet in a bucket. In the bucket a longer signature rules out pairs that differ in too
+many positions, and each pair is taken up in the first bucket it shares. Candidates are
+confirmed on the full sets. Equal sets are one node from the start; first only the nearest
+members of a bucket are tried, then, in buckets that are not yet one component, the pairs
+that are still apart, so groups of copies never make all pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +28,18 @@ SHINGLE = 5
 POSITIONS, CHUNKS, ERRORS = 32, 8, 1
 #: Documents of this number or fewer (16 bytes each) may be broadcast as join keys; beyond, a shuffle joins.
 BROADCAST_ROWS = 400_000
-#: Growth of the number of members from which an unsettled bucket is explored.
-SPREAD = 8
+#: Further 8-bit positions by which candidates of a bucket are compared, and the standard deviations
+#: by which a linked pair may fall short there: a share of 3 in ten million at the very threshold.
+MORE, DEVIATIONS = 192, 5.0
+#: Links that one task contracts.
+LINKS = 500_000
+#: Members of a bucket that are compared at once; larger buckets are dealt into blocks.
+BLOCK = 2048
+#: Nearest members that are tried first.
+NEAREST = 2
 _LOWEST = -(1 << 63)
 
-_SEEDS = np.random.default_rng(97).integers(1, 1 << 63, (POSITIONS, 2), dtype=np.uint64)
+_SEEDS = np.random.default_rng(97).integers(1, 1 << 63, (POSITIONS + MORE, 2), dtype=np.uint64)
 _WILD = list(combinations(range(POSITIONS // CHUNKS), ERRORS))
 
 
@@ -46,12 +55,12 @@ def sorted_sets(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, POSITIONS) 16-bit MinHash symbols; rows without shingles get zeros."""
+def signatures(sets: np.ndarray, at: np.ndarray, first: int = 0, end: int = POSITIONS) -> np.ndarray:
+    """(rows, positions) 16-bit MinHash symbols; rows without shingles get zeros."""
     rows = np.flatnonzero(np.diff(at))
-    out = np.zeros((len(at) - 1, POSITIONS), np.uint16)
+    out = np.zeros((len(at) - 1, end - first), np.uint16)
     if len(rows):
-        for k, (a, b) in enumerate(_SEEDS):
+        for k, (a, b) in enumerate(_SEEDS[first:end]):
             least = np.minimum.reduceat((sets ^ b) * (a | U64(1)), at[rows])
             out[rows, k] = (mix(least) >> U64(48)).astype(np.uint16)
     return out
@@ -98,8 +107,8 @@ def _signed(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, n, items) of the wanted (doc, s1, s2, node)."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
+    """(node, n, items, long) of the wanted (doc, s1, s2, node): the set, and the signature with MORE 8-bit positions."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("long", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +118,81 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 s1, s2 = _set_hashes(sets, at)
                 rows = np.flatnonzero((s1 == s1_want[a:b]) & (s2 == s2_want[a:b]))
                 items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))).take(pa.array(rows))
-                yield batch_of(schema, batch.column(4).slice(a, b - a).take(pa.array(rows)), np.diff(at)[rows], items)
+                full = signatures(sets, at, 0, POSITIONS + MORE)[rows]
+                long = [x.tobytes() + y.tobytes() for x, y in zip(full[:, :POSITIONS], full[:, POSITIONS:].astype(np.uint8))]
+                yield batch_of(schema, batch.column(4).slice(a, b - a).take(pa.array(rows)), np.diff(at)[rows], items, long)
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return texts.join(side, "doc").select("doc", "text", "s1", "s2", "node").mapInArrow(run, "node long, n long, items array<long>")
+    return texts.join(side, "doc").select("doc", "text", "s1", "s2", "node").mapInArrow(run, "node long, n long, items array<long>, long binary")
+
+
+def first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of the first bucket that pairs of 16-bit signatures share (ERRORS is 1)."""
+    differ = (x != y).reshape(*x.shape[:-1], CHUNKS, POSITIONS // CHUNKS)
+    errors = differ.sum(-1)
+    chunk = (errors <= ERRORS).argmax(-1)
+    own = np.take_along_axis(differ, chunk[..., None, None], -2)[..., 0, :]
+    return chunk * len(_WILD) + own.argmax(-1)
+
+
+def bucket_pairs(number: int, long: np.ndarray, labels: np.ndarray, side: np.ndarray, percent: int, nearest: int) -> np.ndarray:
+    """(2, pairs) places of candidates of one bucket: not yet connected, near by the long signature, and
+    here for the first time; with ``nearest`` only that many for each member. ``side`` 0 and 1 are compared
+    with each other, 2 with all of 2."""
+    symbols = long[:, : 2 * POSITIONS].copy().view(np.uint16)
+    marks = np.concatenate([symbols.astype(np.uint8), long[:, 2 * POSITIONS :]], 1)
+    total, p = marks.shape[1], percent / 100
+    least = total * p - DEVIATIONS * np.sqrt(total * p * (1 - p))
+    n, out = len(marks), []
+    step = max(1, (1 << 22) // (n * total))
+    for a in range(0, n, step):
+        rows = np.arange(a, min(a + step, n))
+        same = (marks[rows, None, :] == marks[None, :, :]).sum(-1)
+        ok = (same >= least) & (labels[rows, None] != labels[None, :]) & ((side[rows, None] == 2) | (side[rows, None] != side[None, :]))
+        if not nearest:
+            ok &= np.arange(n)[None, :] > rows[:, None]
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        here = first_shared_key(symbols[rows[i]], symbols[j]) == number
+        i, j = i[here], j[here]
+        if nearest and len(i):
+            order = np.lexsort((j, -same[i, j], i))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+            i, j = i[place < nearest], j[place < nearest]
+        out.append(np.stack([np.minimum(rows[i], j), np.maximum(rows[i], j)]))
+    return np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
+
+
+def _candidates(rows: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """(a, b) from rows (key, number, part, side, node, label, long), group by group of (key, part)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs_of(group: list[tuple]) -> pa.RecordBatch:
+        node, label, side = (np.array([g[k] for g in group]) for k in (4, 5, 3))
+        long = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1)
+        i, j = bucket_pairs(group[0][1], long, label, side, percent, nearest)
+        return batch_of(schema, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and (group[0][0], group[0][2]) != (row[0], row[2]):
+                    if len(group) > 1:
+                        found.append(pairs_of(group))
+                    group = []
+                group.append(row)
+            if found:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if sum(f.num_rows for f in found) else found[0]
+        if len(group) > 1:
+            yield pairs_of(group)
+
+    dealt = rows.select("key", "number", "part", "side", "node", "label", "long").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,9 +204,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b").distinct()
 
 
+def _forest(links: DataFrame, parts: int) -> DataFrame:
+    """(node, root) of the components of each of ``parts`` random shares of the links."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+        yield batch_of(schema, list(up), [root(x) for x in up])
+
+    return links.select("a", "b").repartition(parts).mapInArrow(run, "node long, root long")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over ``links`` (a, b), by label spreading with pointer jumps."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """(node, label): the smallest node reachable over ``links`` (a, b).
+
+    Shares of LINKS links are contracted in tasks of their own; where there are several, labels then spread
+    over the contracted links with pointer jumps until none changes.
+    """
+    parts = -(-links.count() // LINKS) or 1
+    forest = stored(_forest(links, parts), "forest")
+    if parts == 1:
+        return stored(nodes.join(forest, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+    both = forest.select(F.col("node").alias("a"), F.col("root").alias("b")).union(forest.select(F.col("root").alias("a"), F.col("node").alias("b"))).where("a <> b")
     labels = stored(nodes.select("node", F.col("node").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
@@ -168,14 +278,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
             yield batch_of(keyed, batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())))
 
     firsts = signed.where("n > 0").join(groups.withColumnRenamed("first", "doc"), ["doc", "s1", "s2", "n"]).select("node", "sig")
-    entries = firsts.mapInArrow(index, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    entries = firsts.mapInArrow(index, "node long, keys array<long>").select("node", F.posexplode("keys").alias("number", "key"))
     full = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("members")).where("first < last")
-    buckets = stored(entries.join(full.drop("last"), "key").select("key", "node", "first", "members"), "buckets")
+    buckets = stored(entries.join(full.select("key", "members"), "key").select("key", "number", "node", "members"), "buckets")
 
     nodes = buckets.select("node").distinct()
     wanted = stored(groups.join(nodes, "node").select(F.col("first").alias("doc"), "s1", "s2", "node"), "candidates")
     sets = stored(_sets(texts, wanted, size), "sets")
-    found = stored(_confirmed(buckets.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
+    marked = sets.select("node", "long")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    # nearest members first, block by block
+    rows = buckets.join(marked, "node").withColumns({"part": own, "side": F.lit(2), "label": F.col("node")})
+    found = stored(_confirmed(_candidates(rows, percent, NEAREST), sets, percent), "links")
     # documents with several sets tie these together
     if several.limit(1).count():
         tied = members.where("node is not null").join(several, "doc").groupBy("doc").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs"))
@@ -183,24 +298,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         found = stored(found.union(extra).distinct(), "links")
         nodes = nodes.union(extra.select("a")).union(extra.select("b")).distinct()
     labels = components(nodes, found)
-    # a bucket whose members are not yet all connected is explored from ever more members
-    draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    reach, largest = 1, buckets.agg(F.max("members")).first()[0] or 0
-    while reach < largest:
-        before, reach = reach, reach * SPREAD
-        rows = buckets.join(labels, "node")
-        unsettled = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        rows = rows.join(unsettled, "key").withColumn("draw", draw * F.col("members"))
-        rows = stored(rows.select("key", "node", "label", "members", "draw"), "unsettled")
-        if not rows.limit(1).count():
-            break
-        seen = before if before > 1 else 0
-        centers = rows.where((F.col("draw") >= seen) & (F.col("draw") < reach)).select("key", F.col("node").alias("c"), F.col("label").alias("c_label"))
-        pairs = rows.join(centers, "key").where("label <> c_label").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        more = stored(_confirmed(pairs, sets, percent), "links")
-        if more.limit(1).count():
-            found = found.union(more)
-            labels = components(nodes, found)
+    # then, where a bucket is not one component, all that is still apart: a block meets every block
+    labelled = buckets.join(labels, "node")
+    unsettled = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    rows = labelled.join(unsettled, "key").withColumn("_own", own).withColumn("_other", other)
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    rows = rows.withColumns({"part": low * 1_000_003 + high, "side": F.when(low == high, 2).when(F.col("_own") == low, 0).otherwise(1)}).join(marked, "node")
+    more = stored(_confirmed(_candidates(rows, percent, 0), sets, percent), "links")
+    if more.limit(1).count():
+        labels = components(nodes, found.union(more))
     whole = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     least = whole.where("part is not null").groupBy("part").agg(F.min("doc").alias("component"))
     out = whole.join(least, "part", "left").withColumn("component", F.coalesce("component", "doc"))
