@@ -115,8 +115,9 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def text_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased runs of letters and digits, and offsets by row."""
+def text_words(buf: np.ndarray, offs: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of lower-cased runs of letters and digits, and offsets by row; with ``prefix``, a second
+    column of hashes of the first so many bytes of each."""
     n = len(buf)
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = _WORD[buf]
@@ -125,7 +126,11 @@ def text_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[cut] |= inside[cut + 1]
     last[cut - 1] |= inside[cut]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hash(prefix_hash(buf, lower=True), starts, ends), np.searchsorted(starts, offs)
+    h = prefix_hash(buf, lower=True)
+    words = span_hash(h, starts, ends)
+    if prefix:
+        words = np.stack([words, mix(span_hash(h, starts, np.minimum(ends, starts + prefix)) ^ U64(prefix))], 1)
+    return words, np.searchsorted(starts, offs)
 
 
 def shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
