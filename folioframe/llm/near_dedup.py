@@ -28,9 +28,9 @@ SHINGLE = 5
 POSITIONS, CHUNKS, ERRORS = 32, 8, 1
 #: Documents of this number or fewer (16 bytes each) may be broadcast as join keys; beyond, a shuffle joins.
 BROADCAST_ROWS = 400_000
-#: Further 8-bit positions by which candidates of a bucket are compared, and the standard deviations
+#: Further 8-bit positions by which candidates of a large bucket are compared, and the standard deviations
 #: by which a linked pair may fall short there: a share of 3 in ten million at the very threshold.
-MORE, DEVIATIONS = 192, 5.0
+MORE, DEVIATIONS = 736, 5.0
 #: Links that one task contracts.
 LINKS = 500_000
 #: Members of a bucket that are compared at once; larger buckets are dealt into blocks.
@@ -107,8 +107,8 @@ def _signed(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, n, items, long) of the wanted (doc, s1, s2, node): the set, and the signature with MORE 8-bit positions."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("long", pa.binary())])
+    """(node, n, items) of the wanted (doc, s1, s2, node)."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +118,27 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 s1, s2 = _set_hashes(sets, at)
                 rows = np.flatnonzero((s1 == s1_want[a:b]) & (s2 == s2_want[a:b]))
                 items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))).take(pa.array(rows))
-                full = signatures(sets, at, 0, POSITIONS + MORE)[rows]
-                long = [x.tobytes() + y.tobytes() for x, y in zip(full[:, :POSITIONS], full[:, POSITIONS:].astype(np.uint8))]
-                yield batch_of(schema, batch.column(4).slice(a, b - a).take(pa.array(rows)), np.diff(at)[rows], items, long)
+                yield batch_of(schema, batch.column(4).slice(a, b - a).take(pa.array(rows)), np.diff(at)[rows], items)
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return texts.join(side, "doc").select("doc", "text", "s1", "s2", "node").mapInArrow(run, "node long, n long, items array<long>, long binary")
+    return texts.join(side, "doc").select("doc", "text", "s1", "s2", "node").mapInArrow(run, "node long, n long, items array<long>")
+
+
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    """(node, sig): the index signature and MORE 8-bit positions."""
+    schema = pa.schema([("node", pa.int64()), ("sig", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(1)
+            at = items.offsets.to_numpy().astype(np.int64)
+            values = items.values.to_numpy()[at[0] : at[-1]].view(U64)
+            for a in range(0, len(items), 512):
+                cut = at[a : a + 513] - at[0]
+                full = signatures(values[cut[0] : cut[-1]], cut - cut[0], 0, POSITIONS + MORE)
+                yield batch_of(schema, batch.column(0).slice(a, len(cut) - 1), [x.tobytes() + y.tobytes() for x, y in zip(full[:, :POSITIONS], full[:, POSITIONS:].astype(np.uint8))])
+
+    return sets.select("node", "items").mapInArrow(run, "node long, sig binary")
 
 
 def first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -136,11 +151,11 @@ def first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bucket_pairs(number: int, long: np.ndarray, labels: np.ndarray, side: np.ndarray, percent: int, nearest: int) -> np.ndarray:
-    """(2, pairs) places of candidates of one bucket: not yet connected, near by the long signature, and
+    """(2, pairs) places of candidates of one bucket: not yet connected, near by the signatures, and
     here for the first time; with ``nearest`` only that many for each member. ``side`` 0 and 1 are compared
     with each other, 2 with all of 2."""
     symbols = long[:, : 2 * POSITIONS].copy().view(np.uint16)
-    marks = np.concatenate([symbols.astype(np.uint8), long[:, 2 * POSITIONS :]], 1)
+    marks = np.concatenate([symbols.astype(np.uint8), long[:, 2 * POSITIONS :]], 1) if long.shape[1] > 2 * POSITIONS else symbols
     total, p = marks.shape[1], percent / 100
     least = total * p - DEVIATIONS * np.sqrt(total * p * (1 - p))
     n, out = len(marks), []
@@ -167,7 +182,7 @@ def bucket_pairs(number: int, long: np.ndarray, labels: np.ndarray, side: np.nda
 
 
 def _candidates(rows: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """(a, b) from rows (key, number, part, side, node, label, long), group by group of (key, part)."""
+    """(a, b) from rows (key, number, part, side, node, label, sig), group by group of (key, part)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs_of(group: list[tuple]) -> pa.RecordBatch:
@@ -191,7 +206,7 @@ def _candidates(rows: DataFrame, percent: int, nearest: int) -> DataFrame:
         if len(group) > 1:
             yield pairs_of(group)
 
-    dealt = rows.select("key", "number", "part", "side", "node", "label", "long").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    dealt = rows.select("key", "number", "part", "side", "node", "label", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -285,11 +300,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
     nodes = buckets.select("node").distinct()
     wanted = stored(groups.join(nodes, "node").select(F.col("first").alias("doc"), "s1", "s2", "node"), "candidates")
     sets = stored(_sets(texts, wanted, size), "sets")
-    marked = sets.select("node", "long")
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     # nearest members first, block by block
-    rows = buckets.join(marked, "node").withColumns({"part": own, "side": F.lit(2), "label": F.col("node")})
+    rows = buckets.join(firsts, "node").withColumns({"part": own, "side": F.lit(2), "label": F.col("node")})
     found = stored(_confirmed(_candidates(rows, percent, NEAREST), sets, percent), "links")
     # documents with several sets tie these together
     if several.limit(1).count():
@@ -298,11 +312,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SHINGLE) ->
         found = stored(found.union(extra).distinct(), "links")
         nodes = nodes.union(extra.select("a")).union(extra.select("b")).distinct()
     labels = components(nodes, found)
-    # then, where a bucket is not one component, all that is still apart: a block meets every block
-    labelled = buckets.join(labels, "node")
+    # then, where a bucket is not one component, all that is still apart: a block meets every block. Buckets
+    # in which every member tried all the others are done
+    labelled = buckets.where(F.col("members") > NEAREST + 1).join(labels, "node")
     unsettled = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rows = labelled.join(unsettled, "key").withColumn("_own", own).withColumn("_other", other)
+    labelled = stored(labelled.join(unsettled, "key"), "unsettled")
+    marked = _long_signatures(sets.join(labelled.select("node").distinct(), "node"))
+    rows = labelled.withColumn("_own", own).withColumn("_other", other)
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     rows = rows.withColumns({"part": low * 1_000_003 + high, "side": F.when(low == high, 2).when(F.col("_own") == low, 0).otherwise(1)}).join(marked, "node")
     more = stored(_confirmed(_candidates(rows, percent, 0), sets, percent), "links")

@@ -74,4 +74,19 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+_SHINGLES = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+ n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT x, y FROM p JOIN n u ON x = u.doc_id JOIN n v ON y = v.doc_id WHERE 100 * k >= 85 * (u.n + v.n - k)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l)"""
+_BITS = "array_to_string(list_transform(range(20), lambda i: lpad(bin(CAST('0x' || substr(sha1(coalesce(html, '')), 2 * i + 1, 2) AS INTEGER)), 8, '0')), '')"
+_BASE32 = f"array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, 5 * j + k + 1, 1) AS INTEGER) * CAST(power(2, 4 - k) AS INTEGER))) AS BIGINT), 1)), '')"
+
+ORACLES: dict[str, str] = {
+    # copies make few pairs at this size; the self-join is on shared shingles
+    "op1_near_dedup": f"""WITH RECURSIVE {_SHINGLES}, r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, y FROM r JOIN e ON r.c = x)
+ SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON n.doc_id = m.doc_id""",
+    "op9_warc": f"""SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+ FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, {_BITS} AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)""",
+}
