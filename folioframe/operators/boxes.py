@@ -16,6 +16,12 @@ def with_edges(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"right": F.col("left") + F.col("width"), "bottom": F.col("top") + F.col("height")})
 
 
+def in_order(boxes: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Boxes with ``rank`` (0-based) on their page by a column; ties keep document order either way."""
+    by = F.col(column).desc() if descending else F.col(column).asc()
+    return boxes.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy(by, "box_seq")) - 1)
+
+
 def without_empty(boxes: DataFrame) -> DataFrame:
     """Boxes of positive width and height."""
     return boxes.where((F.col("width") > 0) & (F.col("height") > 0))

@@ -277,6 +277,11 @@ def next_boundaries(spark, d):
     return B.next_boundaries(V.boxes(spark, d).where("value = 'click'"), V.pages(spark, d)).select(*KEYS, "box_seq", "top", "top_end")
 
 
+@query(f"SELECT {_K}, box_seq, CAST(row_number() OVER (PARTITION BY {_K} ORDER BY height DESC, box_seq) - 1 AS INTEGER) AS rank FROM boxes", V.BOXES)
+def boxes_in_order(spark, d):
+    return B.in_order(V.boxes(spark, d), "height", descending=True).select(*KEYS, "box_seq", "rank")
+
+
 @query(f"SELECT {_K}, box_seq FROM boxes WHERE width - 30 > 0 AND height - 10 > 0 AND page_num IN (1, 2, 5)", V.BOXES)
 def page_and_area_filter(spark, d):
     small = V.boxes(spark, d).withColumns({"width": F.col("width") - 30, "height": F.col("height") - 10})

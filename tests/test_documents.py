@@ -95,7 +95,7 @@ def test_image_headers(spark, tmp_path):
     assert (row.width, row.height, bytes(row.data)) == (7, 3, bytes(21))
 
 
-def test_pixels(spark):
+def test_pixels(spark, tmp_path):
     a = np.full((120, 160, 3), 255, np.uint8)
     a[:, 60] = 0
     a[40] = 0
@@ -114,6 +114,8 @@ def test_pixels(spark):
     regions = spark.createDataFrame([("d", 1, 5, 50.0, 0.0, 70.0, 40.0)], "doc_id string, page_num int, region_id long, l double, t double, r double, b double")
     assert fill_ratios(images, regions).first().ratio == pytest.approx(1 / 20)
     assert I.with_png(images).first().png[:4] == b"\x89PNG"
+    path = I.write_png(images, f"file://{tmp_path}").first().path
+    assert I.image_size(open(path, "rb").read()) == (160, 120)
 
 
 def test_graded_items(spark):
