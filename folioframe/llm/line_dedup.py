@@ -1,8 +1,10 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over content-defined chunks of lines, or over all runs of lines.
 
 A rolling hash over the hashes of neighbouring lines chooses chunk boundaries, so
 inserted lines move only the boundaries next to them; a line of many words is a chunk of
-its own. Chunks are counted globally by hash; the bytes of those that repeat are
+its own. Runs are the shortest runs of lines with enough words that begin or end at each line:
+whatever lines two documents share, of enough words together, is covered by runs they
+share. Pieces are counted globally by hash; the bytes of those that repeat are
 compared, and all but the copy in the document with the smallest id are removed.
 """
 
@@ -16,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernels import U64, batch_of, mix, prefix_hash, row_index, slices, span_hash, word_spans
+from ._kernels import U64, batch_of, distinct, mix, prefix_hash, row_index, slices, span_hash, word_spans
 from ._shared import stored
 
-#: Words that make a line a chunk of its own, and the fewest words of a chunk that may be removed.
+#: Words that make a line a chunk of its own, and the fewest words of a chunk or run that may be removed.
 LONG_LINE, LEAST_WORDS = 10, 10
 #: A boundary follows a short line if the rolling hash is 0 modulo this: the mean of lines in a chunk.
 MEAN_LINES = 2
 _LOWEST = -(1 << 63)
 
 
-def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash, words) of every chunk; bytes without the last line's end."""
+def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, words, whether the row's last) of every line; bytes without the line's end."""
     n = len(buf)
     starts = np.concatenate([offs[:-1], np.flatnonzero(buf == 10) + 1])
     rows = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs, starts[len(offs) - 1 :] - 1, "right") - 1])
@@ -36,10 +38,15 @@ def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     ends = np.append(starts[1:] - 1, n)
     last = np.append(rows[1:] != rows[:-1], True)
     ends[last] = offs[rows[last] + 1]
+    w, _, _ = word_spans(buf, offs)
+    return rows, starts, ends, np.searchsorted(w, ends) - np.searchsorted(w, starts), last
+
+
+def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash, words) of every chunk; bytes without the last line's end."""
+    rows, starts, ends, words, last = _lines(buf, offs)
     h = prefix_hash(buf)
     line = span_hash(h, starts, ends)
-    w, _, _ = word_spans(buf, offs)
-    words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
     long = words >= LONG_LINE
     before = np.concatenate([[U64(0)], line[:-1]])
     before[np.concatenate([[True], last[:-1]])] = 0
@@ -52,6 +59,25 @@ def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rows[head], starts[head], ends[tail], span_hash(h, starts[head], ends[tail]), total[tail + 1] - total[head]
 
 
+def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash, words) of every run, by row and start; bytes without the last line's end.
+
+    From each line with words the shortest run onwards, and up to it the shortest run before, of
+    LEAST_WORDS words or more; runs overlap and begin and end at lines with words.
+    """
+    rows, starts, ends, words, _ = _lines(buf, offs)
+    full = words > 0
+    rows, starts, ends, words = rows[full], starts[full], ends[full], words[full]
+    total = np.concatenate([[0], np.cumsum(words)])
+    tail = np.searchsorted(total[1:], total[:-1] + LEAST_WORDS)
+    head = np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1
+    forward, back = np.flatnonzero(tail < len(rows)), np.flatnonzero(head >= 0)
+    head, tail = np.concatenate([forward, head[back]]), np.concatenate([tail[forward], back])
+    inside = rows[head] == rows[tail]
+    head, tail = np.divmod(distinct(head[inside] * len(rows) + tail[inside]), max(len(rows), 1))
+    return rows[head], starts[head], ends[tail], span_hash(prefix_hash(buf), starts[head], ends[tail]), total[tail + 1] - total[head]
+
+
 def _key(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(_LOWEST))
 
@@ -62,23 +88,26 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated chunks removed from the text, and
     ``n_chunks_removed`` and ``n_chars_removed`` (replacing columns of these names).
 
-    Of equal chunks of LEAST_WORDS words or more the first in the document with the smallest id stays. Null
+    Of equal chunks of LEAST_WORDS words or more the first in the document with the smallest id stays. With
+    ``passages`` the same holds for all runs of lines of LEAST_WORDS words or more, wherever they begin: a line
+    goes if it is in a run that an earlier document, or the document before the run, has too; what is
+    removed in one piece counts as one chunk. Blank lines at the ends of a passage stay. Null
     texts stay null, empty ones empty, and rows are never dropped. Rows that share an id count as
     one document. Null ids are the smallest. An empty table gives no rows.
     """
     docs = docs.drop("n_chunks_removed", "n_chars_removed")
     names = docs.columns
-    ids, place = names.index(id_col), names.index(text_col)
+    place, pieces = names.index(text_col), runs if passages else chunks
     occurrence = pa.schema([("hash", pa.int64()), ("doc", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offs in slices(batch.column(1)):
-                row, _, _, h, words = chunks(buf, offs)
+                row, _, _, h, words = pieces(buf, offs)
                 use = words >= LEAST_WORDS
                 yield batch_of(occurrence, h[use].view(np.int64), batch.column(0).slice(a, b - a).take(pa.array(row[use])))
 
@@ -99,7 +128,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 own = wanted.slice(a, b - a)
                 if own.null_count == len(own):
                     continue
-                row, start, end, h, words = chunks(buf, offs)
+                row, start, end, h, words = pieces(buf, offs)
                 use = np.flatnonzero((words >= LEAST_WORDS) & np.isin(h, own.flatten().to_numpy().astype(np.int64).view(U64)))
                 sets = [set(x or ()) for x in own.to_pylist()]
                 signed = h.view(np.int64)
@@ -124,25 +153,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 lists = own.column(width + 1).to_pylist()
                 texts, removed, chars = own.column(place).to_pylist(), [0] * (b - a), [0] * (b - a)
                 if any(lists):
-                    row, start, end, h, _ = chunks(buf, offs)
+                    row, start, end, h, _ = pieces(buf, offs)
                     raw, signed, cut = buf.tobytes(), h.view(np.int64).tolist(), np.searchsorted(row, np.arange(b - a + 1))
                     for r, marks_of in enumerate(lists):
                         if not marks_of:
                             continue
-                        left = {(m["hash"], m["md5"]): m["first"] for m in marks_of}
+                        # copies that begin here or later go; None: the first is still to come and stays
+                        left = {(m["hash"], m["md5"]): None if m["first"] else 0 for m in marks_of}
                         named = {k[0] for k in left}
-                        parts, gone_bytes = [], []
+                        gone_spans: list[list[int]] = []
                         for i in range(cut[r], cut[r + 1]):
-                            part = raw[start[i] : end[i]]
-                            key = (signed[i], hashlib.md5(part, usedforsecurity=False).hexdigest()) if signed[i] in named else None
-                            if key in left and not left[key]:
-                                gone_bytes.append(part)
+                            if signed[i] not in named:
+                                continue
+                            a_byte, e_byte = int(start[i]), int(end[i])
+                            key = (signed[i], hashlib.md5(raw[a_byte:e_byte], usedforsecurity=False).hexdigest())
+                            if key not in left:
                                 continue
-                            if key in left:
-                                left[key] = False  # the first stays, later ones go
-                            parts.append(part)
+                            if left[key] is None:
+                                left[key] = e_byte
+                            elif a_byte >= left[key]:
+                                if passages and gone_spans and a_byte <= gone_spans[-1][1] + 1:
+                                    gone_spans[-1][1] = max(gone_spans[-1][1], e_byte)
+                                else:
+                                    gone_spans.append([a_byte, e_byte])
+                        parts, at = [], int(offs[r])
+                        for x, y in gone_spans:
+                            if x > at:
+                                parts.append(raw[at : x - 1])
+                            at = y + 1
+                        if at <= offs[r + 1]:
+                            parts.append(raw[at : offs[r + 1]])
                         texts[r] = b"\n".join(parts).decode()
-                        removed[r], chars[r] = len(gone_bytes), sum(len(g.decode()) for g in gone_bytes)
+                        removed[r], chars[r] = len(gone_spans), sum(len(raw[x:y].decode()) for x, y in gone_spans)
                 cols = [own.column(i) if i != place else pa.array(texts, own.schema.field(i).type) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(chars, pa.int64())], [*names, *kept.names])
 

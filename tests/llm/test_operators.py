@@ -283,6 +283,33 @@ def test_line_dedup_awkward(spark, awkward):
     assert line_dedup.dedup_lines(awkward.limit(0)).count() == 0
 
 
+def test_repeated_passages_of_short_lines_go(spark):
+    """Every passage of 50 words or more goes from all documents but the first, whatever the length of its lines."""
+    def lines(n, mean):
+        out = []
+        while sum(len(x.split()) for x in out) < n:
+            out.append(" ".join(f"{word()}{rng.random()}" for _ in range(rng.choice(mean))))
+        return out
+
+    passages = [lines(50, m) for m in ([1], [2], [3], [4], [5, 6, 7, 8, 9], [2, 30], [1, 2, 12])]
+    rows, want = [], {}
+    for i in range(60):
+        before, after = lines(rng.randint(1, 30), range(1, 14)), lines(rng.randint(1, 30), range(1, 14))
+        rows.append((i, "\n".join([*before, *passages[i % 7], *after])))
+        want[i] = "\n".join([*before, *(passages[i % 7] if i < 7 else []), *after])
+    rows += [(100, "\n".join(["la la"] * 30)), (101, "one two\n\nthree\n" + "\n".join(passages[2][5:]))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3), passages=True).collect()}
+    assert {i: got[i].text for i in want} == want
+    assert all((got[i].n_chunks_removed, got[i].n_chars_removed) == ((1, len("\n".join(passages[i % 7]))) if i >= 7 else (0, 0)) for i in want)
+    assert got[100].text == "\n".join(["la la"] * 5) and got[101].text == "one two\n\nthree"
+
+
+def test_passages_awkward(spark, awkward):
+    got = line_dedup.dedup_lines(awkward, passages=True)
+    assert got.count() == 11 and got.where("doc_id = 7").first().text == "" and got.where("doc_id = 6").first().n_chunks_removed == 0
+    assert got.where("doc_id = 3").first().text is None and line_dedup.dedup_lines(awkward.limit(0), passages=True).count() == 0
+
+
 # ---- secrets ------------------------------------------------------------------------------------
 def test_secrets_equal_brute_force(spark, awkward):
     texts = ["Password: 'hunter22' token=abc api-key apikey=ABCDEFGH é AKIA" + "A1" * 9 + " " + "0af" * 9, "x" * 50, "ab" * 12, 'SECRET"  :\t', None, "", "api_key = " + "z" * 6 + "; ghp_" + "a" * 36]
