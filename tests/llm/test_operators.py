@@ -350,6 +350,19 @@ def test_html(spark):
     assert html_text.extract(df, group_tokens=4).count() == 5 and html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_does_not_depend_on_groups(spark):
+    """A run that two pages of a host share goes, whichever groups the pages are dealt to."""
+    menus = [prose(8) for _ in range(20)]
+    own = [" ".join(f"{word()}{i}x{k}" for k in range(12)) for i in range(40)]
+    rows = [(i, f"http://h/{i}", f"<div>{menus[i // 2]}</div><p>{own[i]}</p>") for i in range(40)]
+    rows += [(50, "http://h/50", f"<article>{prose(5)}</article><div>{own[0]}</div>"), (None, "http://h/n", f"<p>{own[1]}</p><p>{own[3]} end</p>"), (51, "http://k/1", f"<p>{own[2]}</p>")]
+    df = spark.createDataFrame(rows, PAGE)
+    texts = lambda **k: sorted((str(r.page_id), r.text) for r in html_text.extract(df, **k).collect())
+    got = dict(texts(group_tokens=4))
+    assert texts(group_tokens=4) == texts() == texts(group_tokens=100)
+    assert [got[str(i)] for i in range(40)] == ["", "", own[2], "", *own[4:]] and got["None"] == "end" and got["51"] == own[2]
+
+
 def test_repeated_runs_equal_brute_force():
     g = np.random.default_rng(0)
     for _ in range(60):
