@@ -363,6 +363,16 @@ def test_html_does_not_depend_on_groups(spark):
     assert [got[str(i)] for i in range(40)] == ["", "", own[2], "", *own[4:]] and got["None"] == "end" and got["51"] == own[2]
 
 
+def test_html_copies_keep_their_text(spark):
+    """Copies of a page do not cover each other; what other pages repeat goes from every copy."""
+    menu, text, alone = prose(8), prose(30), prose(20)
+    rows = [(i, f"http://h/{i}", f"<div>{menu}</div><p>{text}</p>") for i in (1, 2, 3)] + [(4, "http://h/4", f"<div>{menu}</div><p>short words</p>")]
+    rows += [(i, f"http://k/{i}", f"<p>{alone}</p>") for i in (5, 6)] + [(7, "http://l/7", f"<p>{menu}</p>"), (8, "http://l/8", f"<article>{text}</article><p>{menu}</p>")]
+    df = spark.createDataFrame(rows, PAGE)
+    for tokens in (4, html_text.GROUP_TOKENS):
+        assert {r.page_id: r.text for r in html_text.extract(df, group_tokens=tokens).collect()} == {1: text, 2: text, 3: text, 4: "short words", 5: alone, 6: alone, 7: "", 8: text}
+
+
 def test_repeated_runs_equal_brute_force():
     g = np.random.default_rng(0)
     for _ in range(60):
