@@ -152,13 +152,15 @@ def first_shared_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def bucket_pairs(number: int, long: np.ndarray, labels: np.ndarray, side: np.ndarray, percent: int, nearest: int) -> np.ndarray:
     """(2, pairs) places of candidates of one bucket: not yet connected, near by the signatures, and
-    here for the first time; with ``nearest`` only that many for each member. ``side`` 0 and 1 are compared
-    with each other, 2 with all of 2."""
+    here for the first time; with ``nearest`` only that many for each member, and in a bucket where
+    these are all others the signatures rule out none. ``side`` 0 and 1 are compared with each other, 2 with all of 2."""
     symbols = long[:, : 2 * POSITIONS].copy().view(np.uint16)
     marks = np.concatenate([symbols.astype(np.uint8), long[:, 2 * POSITIONS :]], 1) if long.shape[1] > 2 * POSITIONS else symbols
     total, p = marks.shape[1], percent / 100
     least = total * p - DEVIATIONS * np.sqrt(total * p * (1 - p))
     n, out = len(marks), []
+    if nearest and n <= nearest + 1:
+        least = 0  # no longer signature is asked later
     step = max(1, (1 << 22) // (n * total))
     for a in range(0, n, step):
         rows = np.arange(a, min(a + step, n))

@@ -106,6 +106,20 @@ def test_pigeonhole():
     assert all(set(a) & set(b) for a, b in zip(near_dedup.bucket_keys(sig), near_dedup.bucket_keys(other)))
 
 
+def test_small_buckets_try_every_pair_that_meets():
+    """Pairs that differ in 15 positions, as many as the index allows, are candidates."""
+    g = np.random.default_rng(1)
+    for _ in range(50):
+        a = g.integers(0, 1 << 16, near_dedup.POSITIONS, dtype=np.uint16)
+        b, width, good = a.copy(), near_dedup.POSITIONS // near_dedup.CHUNKS, g.integers(near_dedup.CHUNKS)
+        for c in range(near_dedup.CHUNKS):
+            b[c * width + g.choice(width, near_dedup.ERRORS + (c != good), replace=False)] ^= 1
+        assert (a != b).sum() == near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
+        number = int(near_dedup.first_shared_key(a, b))
+        got = near_dedup.bucket_pairs(number, np.stack([a, b]).view(np.uint8), np.array([1, 2]), np.array([2, 2]), 85, near_dedup.NEAREST)
+        assert got.tolist() == [[0], [1]]
+
+
 # ---- classifiers --------------------------------------------------------------------------------
 def labelled(spark, label):
     rows, marks = [], []
