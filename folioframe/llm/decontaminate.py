@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,22 @@ def fingerprints(words: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple
     return start[inside], mix(h[inside])
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts without case: every character's upper case in lower case, and ss for ß. Bytes that are not UTF-8 become U+FFFD."""
+    try:
+        upper = pc.utf8_upper(texts)
+    except pa.ArrowInvalid:
+        upper = pc.utf8_upper(pa.array([None if t is None else t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()], pa.large_string()))
+    return pc.replace_substring(pc.utf8_lower(upper), "ß", "ss")
+
+
 class Benchmark:
     """Seeds of a block of items, sorted by fingerprint."""
 
     def __init__(self, ids: list[int], texts: list[str | None], least: int = LEAST):
         self.least, self.ids, self.words, offset = least, ids, [], 0
         hashes, item, place = [], [], []
-        for _, _, buf, offs in slices(pa.array(texts, pa.string())):
+        for _, _, buf, offs in slices(folded(pa.array(texts, pa.large_string()))):
             w, at = text_words(buf, offs)
             self.words += np.split(w, at[1:-1])
             start, h = fingerprints(w, at, least)
@@ -151,7 +161,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Benchmark]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per leak: doc_id, item_id, coverage (of the item's tokens), n_tiles.
 
-    Tokens are lower-cased runs of letters and digits. Null and empty texts and items under
+    Tokens are runs of letters and digits, without case (``folded``). Null and empty texts and items under
     LEAST tokens have no leaks; repeated rows give repeated leaks; an empty table gives none. The
     benchmark is compared in blocks of bounded size, each in one scan of ``docs``.
     """
@@ -164,7 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bloc
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, buf, offs in slices(batch.column(1)):
+                for a, b, buf, offs in slices(folded(batch.column(1))):
                     found = list(shared.value.leaks(*text_words(buf, offs), cover))
                     if found:
                         rows = batch.column(0).slice(a, b - a).take(pa.array([f[0] for f in found]))
@@ -183,7 +193,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bl
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, buf, offs in slices(batch.column(place)):
+                for a, b, buf, offs in slices(folded(batch.column(place))):
                     keep = np.ones(b - a, bool)
                     keep[[f[0] for f in shared.value.leaks(*text_words(buf, offs), cover)]] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))

@@ -233,6 +233,16 @@ def test_leaks(spark, awkward):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_in_another_case(spark):
+    item = " ".join(f"{w}{k}" for k, w in enumerate("élan Äpfel straße ñandú λόγος öl ça übung żółw déjà".split() * 2))
+    docs = spark.createDataFrame([(1, item.upper()), (2, f"x {item.title()} y"), (3, item.lower()), (4, prose(40)), (5, None)], DOCS)
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.coverage) for r in decontaminate.find_leaks(docs, bench).collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(docs, bench).collect()) == [4, 5]
+    bad = pa.array([item.upper().encode() + b"\xff", None]).view(pa.string())
+    assert decontaminate.folded(bad).to_pylist() == [decontaminate.folded(pa.array([item]))[0].as_py() + "\ufffd", None]
+
+
 # ---- tokenizer ----------------------------------------------------------------------------------
 def test_bpe_equals_the_library(spark, awkward):
     from tokenizers import Tokenizer
