@@ -150,7 +150,7 @@ def tile(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int]]
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Benchmark]:
-    rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
+    rows = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // limit) if size > limit else 1)
     for k in range(blocks):
@@ -162,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bloc
     """One row per leak: doc_id, item_id, coverage (of the item's tokens), n_tiles.
 
     Tokens are runs of letters and digits, without case (``folded``). Null and empty texts and items under
-    LEAST tokens have no leaks; repeated rows give repeated leaks; an empty table gives none. The
+    LEAST tokens have no leaks; repeated rows give repeated leaks; items with a null id leak under a null id; an empty table gives none. The
     benchmark is compared in blocks of bounded size, each in one scan of ``docs``.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -243,6 +243,15 @@ def test_leaks_in_another_case(spark):
     assert decontaminate.folded(bad).to_pylist() == [decontaminate.folded(pa.array([item]))[0].as_py() + "\ufffd", None]
 
 
+def test_leaks_of_items_without_an_id(spark):
+    one, two = prose(20), prose(20)
+    docs = spark.createDataFrame([(1, one), (2, f"a {two} b"), (3, prose(30))], DOCS)
+    bench = spark.createDataFrame([(None, one), (None, two), (4, prose(20))], "item_id long, text string")
+    for block in (1 << 20, 100):
+        assert sorted(map(tuple, decontaminate.find_leaks(docs, bench, block_bytes=block).select("doc_id", "item_id").collect())) == [(1, None), (2, None)]
+        assert [r.doc_id for r in decontaminate.remove_leaks(docs, bench, block_bytes=block).collect()] == [3]
+
+
 # ---- tokenizer ----------------------------------------------------------------------------------
 def test_bpe_equals_the_library(spark, awkward):
     from tokenizers import Tokenizer
