@@ -46,6 +46,13 @@ def folded(texts: pa.Array) -> pa.Array:
     return pc.replace_substring(pc.utf8_lower(upper), "ß", "ss")
 
 
+def folded_slices(column: pa.Array, rows: int = 500) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``slices`` of folded texts; so many rows are folded at once."""
+    for first in range(0, len(column), rows):
+        for a, b, buf, offs in slices(folded(column.slice(first, rows))):
+            yield first + a, first + b, buf, offs
+
+
 class Benchmark:
     """Seeds of a block of items, sorted by fingerprint."""
 
@@ -174,7 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bloc
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, buf, offs in slices(folded(batch.column(1))):
+                for a, b, buf, offs in folded_slices(batch.column(1)):
                     found = list(shared.value.leaks(*text_words(buf, offs), cover))
                     if found:
                         rows = batch.column(0).slice(a, b - a).take(pa.array([f[0] for f in found]))
@@ -193,7 +200,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bl
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, buf, offs in slices(folded(batch.column(place))):
+                for a, b, buf, offs in folded_slices(batch.column(place)):
                     keep = np.ones(b - a, bool)
                     keep[[f[0] for f in shared.value.leaks(*text_words(buf, offs), cover)]] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
