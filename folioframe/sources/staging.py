@@ -4,17 +4,48 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder the cluster names in spark.checkpoint.dir.
+
+    The setting is read from the session. Where it is unset, as in tests, the folder lies in the
+    session's warehouse, which executors share too.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = f"file://{base[5:]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: lineage ends here."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet in the folder of spark.checkpoint.dir and read it back.
+    """``df`` as a new table in the shared folder.
 
     Plans that use a result several times compute it once, and a lost executor repeats only
-    what follows. Where the setting is absent (tests on one machine) a local folder serves.
+    what follows.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/folioframe"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, shared_dir(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one run in a folder of their own, deleted together when what needs them is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.number = spark, shared_dir(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        return written(df, f"{self.folder}/{self.number:03d}-{name}")
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
