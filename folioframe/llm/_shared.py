@@ -1,30 +1,26 @@
-"""Session helpers: the shared folder for tables that cut lineage."""
+"""Session helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.sources.staging import Scratch, shared_dir
+from folioframe.sources.staging import staged as stored
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster names in spark.checkpoint.dir.
+__all__ = ["Scratch", "bounded_batches", "shared_dir", "stored", "table"]
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) is a local folder set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("folioframe.checkpoint.dir", "/tmp/checkpoints/folioframe")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Bytes of an Arrow batch between the JVM and Python: many long texts do not meet in one batch.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches where the session sets no lower bound itself."""
+    if int(spark.conf.get(_BATCH, str((1 << 31) - 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder; the operators read it in Arrow batches of bounded size."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
