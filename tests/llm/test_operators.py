@@ -1,6 +1,7 @@
 import base64
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -106,18 +107,69 @@ def test_pigeonhole():
     assert all(set(a) & set(b) for a, b in zip(near_dedup.bucket_keys(sig), near_dedup.bucket_keys(other)))
 
 
-def test_small_buckets_try_every_pair_that_meets():
-    """Pairs that differ in 15 positions, as many as the index allows, are candidates."""
-    g = np.random.default_rng(1)
-    for _ in range(50):
-        a = g.integers(0, 1 << 16, near_dedup.POSITIONS, dtype=np.uint16)
-        b, width, good = a.copy(), near_dedup.POSITIONS // near_dedup.CHUNKS, g.integers(near_dedup.CHUNKS)
-        for c in range(near_dedup.CHUNKS):
-            b[c * width + g.choice(width, near_dedup.ERRORS + (c != good), replace=False)] ^= 1
-        assert (a != b).sum() == near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
-        number = int(near_dedup.first_shared_key(a, b))
-        got = near_dedup.bucket_pairs(number, np.stack([a, b]).view(np.uint8), np.array([1, 2]), np.array([2, 2]), 85, near_dedup.NEAREST)
-        assert got.tolist() == [[0], [1]]
+def bucket(sets, labels, percent, one=True):
+    """Links of one bucket as the comparing task finds them, before the full sets confirm."""
+    hashes = [np.array(sorted(x), np.uint64) for x in sets]
+    at = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+    sig = near_dedup.signatures(np.concatenate(hashes), at)
+    out = set()
+    for number in range(near_dedup.CHUNKS * near_dedup.POSITIONS // near_dedup.CHUNKS):
+        n = len(sets)
+        columns = [np.zeros(n, int), np.zeros(n, int), np.full(n, number), np.arange(n), np.array([len(h) for h in hashes]), np.array(labels), np.full(n, 7)]
+        b = near_dedup.Bucket(pa.table([*map(pa.array, columns), [r.tobytes() for r in sig], [near_dedup.parity_map(h) for h in hashes]], [*"abcdefghi"]))
+        out |= set(map(tuple, np.stack(near_dedup.possible_pairs(b, percent, one), 1).tolist()))
+    return sig, out
+
+
+def test_bit_maps_rule_out_no_link():
+    """Every pair over the threshold that meets is a candidate, whatever the sizes, and few others are."""
+    for n in (3, 40, 400, 30_000):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        sets = [{base[0]} | {h for h in base if rng.random() > cut} | {rng.getrandbits(64) for _ in range(int(n * cut))} for cut in (0, 0.05, 0.08, 0.1, 0.15, 0.3, 0.6) for _ in range(2)]
+        for percent in (80, 85):
+            sig, got = bucket(sets, range(len(sets)), percent, one=False)
+            similar = lambda x, y: 100 * len(x & y) / max(len(x | y), 1)
+            keys = [set(k) for k in near_dedup.bucket_keys(sig)]
+            links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(sets[i], sets[j]) >= percent and keys[i] & keys[j]}
+            assert links <= got and (n < 40 or all(similar(sets[i], sets[j]) >= percent - 30 for i, j in got))
+
+
+def test_hot_buckets_meet_in_blocks(spark, monkeypatch):
+    """Buckets of several components, dealt into many blocks, lose no link."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    base = prose(160).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(i // 30):  # four families, some of whose members are near those of others
+            w[k * 11 : k * 11 + 4 + i % 5] = [f"f{i // 30}k{k}x{j}" for j in range(4)]
+        w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == exact_components(rows, 85)
+
+
+def test_rows_without_an_id_are_documents(spark):
+    a, b, c = prose(40), prose(40), prose(40)
+    rows = [(None, a), (None, f"{a} x"), (None, b), (None, b), (None, c), (4, f"{c} y"), (-(1 << 63), prose(30)), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("_doc", F.lit(1))
+    got = [(r.doc_id, r.component_id, r.kept, r.n_shingles > 0) for r in near_dedup.near_duplicates(df, 85).collect()]
+    count = collections.Counter(got)
+    assert count[None, 4, False, True] == 1 and count[4, 4, True, True] == 1 and count[-(1 << 63), -(1 << 63), True, True] == 1
+    assert count[None, None, True, True] == 3 and count[None, None, False, True] == 1 and count[None, None, True, False] == 2
+    kept = [r.text for r in near_dedup.drop_near_duplicates(df, 85).collect()]
+    assert len(kept) == 7 and kept.count(b) == 2 and c not in kept and len({a, f"{a} x"} & set(kept)) == 1
+
+
+def test_contraction():
+    g = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        a, b = g.integers(0, 80, n), g.integers(0, 80, n)
+        want = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(80):
+            for x, y in zip(a.tolist(), b.tolist()):
+                want[x] = want[y] = min(want[x], want[y])
+        assert dict(zip(*(v.tolist() for v in near_dedup.contract(a, b)))) == want
 
 
 # ---- classifiers --------------------------------------------------------------------------------
@@ -274,6 +326,71 @@ def test_bpe_equals_the_library(spark, awkward):
     assert bpe.encode(awkward.limit(0), vocabulary()).count() == 0
 
 
+def small_model(letters, merges, path):
+    """A byte-level model with so many random merges, and their ranks."""
+    name = {b: c for c, b in bpe.byte_letters().items()}
+    vocab, tokens, rank = {name[b]: b for b in range(256)}, list(letters), {}
+    while len(rank) < merges:
+        pair = rng.choice(tokens), rng.choice(tokens)
+        if len("".join(pair)) <= 24 and pair not in rank:
+            rank[pair] = len(rank)
+            if "".join(pair) not in vocab:
+                vocab["".join(pair)] = len(vocab)
+                tokens.append("".join(pair))
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": [" ".join(p) for p in rank]}, "added_tokens": []}))
+    return bpe.Tokenizer(str(path)), rank, tokens
+
+
+def plain_bpe(text, rank):
+    tokens = list(text)
+    while best := min(((rank[p], p) for p in zip(tokens, tokens[1:]) if p in rank), default=None):
+        out = []
+        for t in tokens:
+            if out and (out[-1], t) == best[1]:
+                out[-1] += t
+            else:
+                out.append(t)
+        tokens = out
+    return tokens
+
+
+def test_lookahead_suffices_for_random_merges(tmp_path):
+    """The machine with the smallest window equals plain BPE for hostile merge lists."""
+    for k in range(100):
+        letters = "ab" if k % 2 else "abc"
+        model, rank, tokens = small_model(letters, rng.randint(2, 14), tmp_path / "m.json")
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 150))) for _ in range(8)]
+        words += [rng.choice(tokens) * 50 for _ in range(4)] + ["".join(rng.choice(tokens) for _ in range(40)) for _ in range(4)]
+        ids, n, left = model.transduce(np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words]), window=1)
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        for w, a, b in zip(words, cuts[:-1], cuts[1:]):
+            assert [model.bytes_of[i].decode() for i in ids[a:b].tolist()] == plain_bpe(w, rank)
+        assert left == 0
+
+
+def test_texts_in_pieces():
+    """The same ids whatever the pieces, and bounded memory for one endless pretoken."""
+    model = bpe.tokenizer(vocabulary())
+    texts = ["don't 'sfoo ''s !'ll 'x", "日本" * 300 + " \n\n x", " " * 900, "a" * 2000] + ["".join(rng.choice("' \n\tsrevéla日'") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    want = model.encode_texts(texts)
+    for step in (1, 2, 5, 300):
+        assert [model.encode_text(t, step) for t in texts] == want
+    machine, most, n = bpe.Encoder(model), 0, 0
+    for _ in range(300):
+        n += len(machine.feed(b"abcde" * 200))
+        most = max(most, len(machine.open) + len(machine.next) + len(machine.past))
+    assert n > 10_000 and most < 2 * (bpe.WINDOW + model.lookahead) + 100
+
+
+def test_every_pretoken_runs_through_the_machine(monkeypatch):
+    model, sizes = bpe.Tokenizer(vocabulary()), []
+    plain = model.transduce
+    monkeypatch.setattr(model, "transduce", lambda data, lens, *a: sizes.extend(lens.tolist()) or plain(data, lens, *a))
+    text = prose(300)
+    model.encode_texts([text, "x" * 5000])
+    assert sorted(sizes) == sorted(map(len, {w for w in re.findall(" ?[a-z]+", text)} | {"x" * 5000}))
+
+
 # ---- line dedup ---------------------------------------------------------------------------------
 def plain_chunks(text):
     buf, offs = only([text])
