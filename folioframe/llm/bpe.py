@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-A text is cut into pretokens by the tokenizer's fixed pattern; inside a pretoken the
-transducer keeps at most ``lookahead`` undecided bytes beyond a bounded window, so a
-pretoken of any length is encoded in constant memory. ``lookahead`` is computed from
-the merge list. New pretokens of a slice are encoded together: all words
-advance by one merge rank step at a time in vectorised form.
+A text is cut into pretokens by the tokenizer's fixed pattern. Every pretoken, of whatever length, is a stream
+through the transducer: WINDOW bytes are read beyond the lookahead, the tokens that end ``lookahead`` bytes before
+the last byte read are stable and emitted, and the machine goes on from there; at the pretoken's end the rest is
+emitted. So it holds window and lookahead only. ``lookahead`` is computed from the merge list. The
+pretokens of a slice run through the machine in lockstep, and its output for a pretoken is
+remembered within bounds. ``Encoder`` runs the same machine over a text that arrives in pieces.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from ._kernels import batch_of, prefix_hash, slices, span_hash
 
 #: Fixed value: the byte-level pretokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pretokens remembered by a worker (a power of two); the memory is emptied when full.
-CACHE_SLOTS = 1 << 20
-#: Pretokens longer than this many bytes go through the streaming path.
-LONG = 256
-#: Bytes decided at a time by the streaming path, besides the lookahead.
+#: Pretokens remembered by a worker (a power of two), and the ids they have together; the memory is emptied when full.
+CACHE_SLOTS, CACHE_IDS = 1 << 19, 1 << 22
+#: Bytes that the machine decides at a time, besides the lookahead.
 WINDOW = 512
+#: Bytes of pretokens that run through the machine together.
+LOCKSTEP = 1 << 17
+#: Characters before and after a place that decide whether a pretoken begins there.
+SIGHT = 4
 _NONE = np.int64(1 << 40)
 
 
@@ -94,13 +97,13 @@ class Tokenizer:
             self.keys[slot[won]], self.rank[slot[won]] = codes[todo[won]], todo[won]
             todo, step = np.delete(todo, won), step + 1
         self.probes = step
-        self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letter_n = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.letter_n[i] = len(b)
         self.letter_at = np.cumsum(self.letter_n) - self.letter_n
         self.letters = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.letter_n))), np.uint8)
+        self.longest = int(self.letter_n.max())
         self._forget()
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
@@ -154,39 +157,52 @@ class Tokenizer:
         word, ids = (np.concatenate(x) for x in zip(*done))
         return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lens))
 
-    def stream_word(self, chunks: Iterable[bytes]) -> Iterator[np.ndarray]:
-        """Token ids of one pretoken given in pieces; memory is window + lookahead.
+    def transduce(self, data: np.ndarray, lens: np.ndarray, window: int = WINDOW, open_last: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+        """Token ids of many pretokens, laid end to end, how many each has, and the bytes of the last that are undecided.
 
-        Tokens that end ``lookahead`` bytes before the end of what was read are
-        stable; a suffix of a BPE encoding that begins at a token is the encoding of its
-        bytes, so the rest starts afresh there.
+        In each round every pretoken shows the machine its next ``window`` and ``lookahead`` bytes, and gives up the
+        tokens that are stable. A suffix of a BPE encoding that begins at a token is the
+        encoding of its bytes, so the rest starts afresh there. With ``open_last`` the last pretoken goes on
+        beyond its bytes, and only its stable tokens are emitted.
         """
-        held = b""
-        for chunk in chunks:
-            for i in range(0, len(chunk), WINDOW):
-                held += chunk[i : i + WINDOW]
-                if len(held) < WINDOW + self.lookahead:
-                    continue
-                ids = self._one(held)
-                ends = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
-                n = int(np.searchsorted(ends, len(held) - self.lookahead, "right"))
-                if n:
-                    yield ids[:n]
-                    held = held[ends[n - 1] :]
-        if held:
-            yield self._one(held)
-
-    def _one(self, data: bytes) -> np.ndarray:
-        return self.encode_words(np.frombuffer(data, np.uint8), np.array([len(data)]))[0]
-
-    def encode_text(self, text: str) -> bytes:
-        """Little-endian ids of one text, pretoken by pretoken; the plain path."""
+        window = max(window, self.longest)
+        at = np.cumsum(lens) - lens
+        ends, streams = at + lens, np.flatnonzero(lens)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        left = 0
+        while len(streams):
+            read = np.minimum(ends[streams] - at[streams], window + self.lookahead)
+            ids, many = self.encode_words(gather(data, at[streams], read), read)
+            own = np.repeat(np.arange(len(streams)), many)
+            size = self.letter_n[ids]
+            upto = np.cumsum(size)
+            upto -= np.repeat((upto - size)[np.cumsum(many) - many], many)
+            closed = at[streams] + read == ends[streams]
+            if open_last and streams[-1] == len(lens) - 1:
+                closed[-1] = False
+            stable = closed[own] | (upto <= read[own] - self.lookahead)
+            out.append((streams[own[stable]], ids[stable]))
+            moved = np.bincount(own[stable], size[stable], len(streams)).astype(np.int64)
+            at[streams] += moved
+            if open_last and streams[-1] == len(lens) - 1 and at[streams[-1]] + self.lookahead + window > ends[streams[-1]] and not moved[-1]:
+                left = int(ends[streams[-1]] - at[streams[-1]])
+                streams = streams[:-1]
+            streams = streams[at[streams] < ends[streams]]
+        if not out:
+            return np.empty(0, "<u4"), np.zeros(len(lens), np.int64), left
+        stream, ids = (np.concatenate(x) for x in zip(*out))
+        return ids[np.argsort(stream, kind="stable")], np.bincount(stream, minlength=len(lens)), left
+
+    def encode_text(self, text: str, step: int = 1 << 16) -> bytes:
+        """Little-endian ids of one text through an ``Encoder``, special tokens apart: no memory of earlier pretokens."""
         out = []
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
             else:
-                out += [x.tobytes() for w in self.find(part) for x in self.stream_word([w.encode()])]
+                machine, data = Encoder(self), part.encode()
+                out += [machine.feed(data[k : k + step]).tobytes() for k in range(0, len(data), step)]
+                out.append(machine.close().tobytes())
         return b"".join(out)
 
     def _forget(self) -> None:
@@ -194,7 +210,7 @@ class Tokenizer:
         self.seen = np.zeros(2 * CACHE_SLOTS, np.uint64)  # word hash of each slot, 0 if free
         self.entry = np.zeros(2 * CACHE_SLOTS, np.int64)
         self.at, self.n = np.zeros(CACHE_SLOTS + 1, np.int64), np.zeros(CACHE_SLOTS, np.int64)
-        self.flat = np.empty(1 << 16, "<u4")
+        self.flat = np.empty(CACHE_IDS, "<u4")
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each word hash, or -1."""
@@ -211,13 +227,10 @@ class Tokenizer:
             todo = todo[~hit & (got != 0)]
         return out
 
-    def _learn(self, h: np.ndarray, data: np.ndarray, lens: np.ndarray) -> None:
-        """Encode new words and remember them by hash."""
-        ids, n = self.encode_words(data, lens)
+    def _learn(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Remember the ids of new pretokens by hash; all fit."""
         e = self.known + np.arange(len(h))
         used = self.at[self.known]
-        if used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), "<u4")])
         self.flat[used : used + len(ids)] = ids
         self.n[e], self.at[e + 1] = n, used + np.cumsum(n)
         self.known += len(h)
@@ -234,38 +247,31 @@ class Tokenizer:
     def encode_slice(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a slice, end to end, and id offsets by row."""
         at = pretokens(buf, offs)
-        ends = np.append(at[1:], len(buf))
-        h = span_hash(prefix_hash(buf), at, ends) | np.uint64(1)
-        found = self._find(h)
-        new = np.flatnonzero(found < 0)
-        long_ids: dict[int, np.ndarray] = {}
-        if len(new):
-            far = new[ends[new] - at[new] > LONG]
-            for w in far.tolist():
-                data = buf[at[w] : ends[w]]
-                long_ids[w] = np.concatenate(list(self.stream_word(data[i : i + WINDOW].tobytes() for i in range(0, len(data), WINDOW))))
-            new = new[ends[new] - at[new] <= LONG]
-            _, first = np.unique(h[new], return_index=True)
-            if self.known + len(first) > CACHE_SLOTS:
+        lens = np.diff(np.append(at, len(buf)))
+        h = span_hash(prefix_hash(buf), at, at + lens) | np.uint64(1)
+        kinds, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        found = self._find(kinds)
+        old, new = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+        runs = [(old, gather(self.flat, self.at[found[old]], self.n[found[old]]), self.n[found[old]])]
+        size = np.cumsum(lens[first[new]])
+        for some in np.split(new, np.searchsorted(size, np.arange(LOCKSTEP, size[-1], LOCKSTEP)) if len(new) else []):
+            if not len(some):
+                continue
+            word = first[some]
+            ids, n, _ = self.transduce(gather(buf, at[word], lens[word]), lens[word])
+            runs.append((some, ids, n))
+            if self.known + len(some) > CACHE_SLOTS or self.at[self.known] + len(ids) > CACHE_IDS:
                 self._forget()
-                new = np.flatnonzero(ends - at <= LONG)
-                _, first = np.unique(h[new], return_index=True)
-            for a in range(0, len(first), CACHE_SLOTS // 2):
-                one = new[first[a : a + CACHE_SLOTS // 2]]
-                if self.known + len(one) > CACHE_SLOTS:  # more new words than the memory holds
-                    parts = [self.encode_text(buf[x:y].tobytes().decode()) for x, y in zip(offs[:-1], offs[1:])]
-                    return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-                lens = ends[one] - at[one]
-                self._learn(h[one], gather(buf, at[one], lens), lens)
-            found = self._find(h)
-        n = np.where(found >= 0, self.n[found], 0)
-        for w, x in long_ids.items():
-            n[w] = len(x)
+            if len(some) <= CACHE_SLOTS and len(ids) <= CACHE_IDS:
+                self._learn(kinds[some], ids, n)
+        # all kinds' ids, end to end, then those of the slice's pretokens
+        ids, many, begin, used = np.concatenate([r[1] for r in runs]), np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), 0
+        for some, own, n in runs:
+            many[some], begin[some] = n, used + np.cumsum(n) - n
+            used += len(own)
+        n = many[kind]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = gather(self.flat, np.where(found >= 0, self.at[found], 0), n)
-        for w, x in long_ids.items():
-            ids[total[w] : total[w + 1]] = x
-        return ids, total[np.searchsorted(at, offs)]
+        return gather(ids, begin[kind], n), total[np.searchsorted(at, offs)]
 
     def to_bytes(self, ids: np.ndarray) -> np.ndarray:
         return gather(self.letters, self.letter_at[ids], self.letter_n[ids])
@@ -308,9 +314,10 @@ def gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarr
 def _classes() -> np.ndarray:
     """Of every code point: 0 other, 1 letter, 2 number, 3 white space."""
     out = np.zeros(0x110000, np.uint8)
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for k, name in enumerate((r"\p{L}", r"\p{N}", r"\p{White_Space}"), 1):
-        out[[ord(c) for c in regex.findall(name, text)]] = k
+    for first in range(0, 0x110000, 0x1000):
+        text = "".join(chr(c) for c in range(first, first + 0x1000) if not 0xD800 <= c < 0xE000)
+        for k, name in enumerate((r"\p{L}", r"\p{N}", r"\p{White_Space}"), 1):
+            out[[ord(c) for c in regex.findall(name, text)]] = k
     return out
 
 
@@ -350,6 +357,52 @@ def pretokens(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return place[np.flatnonzero(start[:n])]
 
 
+class Encoder:
+    """The transducer over a text in pieces: ``feed`` gives the ids that are stable, ``close`` the rest.
+
+    It holds the open pretoken's undecided bytes (window and lookahead), SIGHT characters before them that show how
+    pretokens go on, and as many after them whose pretoken is not decided yet.
+    """
+
+    def __init__(self, model: Tokenizer, window: int = WINDOW):
+        self.model, self.window = model, window
+        self.past = b""  # decided characters that the pattern still looks back to
+        self.open = b""  # bytes of the open pretoken that are not emitted
+        self.next = b""  # bytes whose pretoken is open to question
+
+    def feed(self, data: bytes) -> np.ndarray:
+        text = self.next + data
+        chars = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+        # an unfinished character counts as one more that is not decided
+        cut = int(chars[-SIGHT - 1]) if len(chars) > SIGHT + 1 else 0
+        return self._advance(text, cut, False)
+
+    def close(self) -> np.ndarray:
+        return self._advance(self.next, len(self.next), True)
+
+    def _advance(self, text: bytes, cut: int, whole: bool) -> np.ndarray:
+        if not cut and not whole:
+            self.next = text
+            return np.empty(0, "<u4")
+        back = len(self.past)
+        seen = np.frombuffer(self.past + text, np.uint8)
+        if not whole:  # what follows the cut is shown to the pattern up to the last whole character
+            seen = seen[: back + int(np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)[-1])]
+        starts = pretokens(seen, np.array([0, len(seen)])) - back
+        # the first byte of a text begins a pretoken; later pieces begin one only where the pattern says so
+        starts = starts[(starts >= 0) & (starts < cut)]
+        decided = self.open + text[:cut]
+        bounds = np.concatenate([[0], starts + len(self.open), [len(decided)]])
+        bounds = np.unique(bounds)
+        lens = np.diff(bounds)
+        ids, _, left = self.model.transduce(np.frombuffer(decided, np.uint8), lens, self.window, not whole)
+        self.open = decided[len(decided) - left :] if left else b""
+        held = (self.past + text[:cut])[-4 * SIGHT :]
+        lead = [k for k, c in enumerate(held) if c & 0xC0 != 0x80][-SIGHT:]
+        self.past, self.next = held[lead[0] :] if lead else b"", text[cut:]
+        return ids
+
+
 class Decoder:
     """Incremental byte-to-text machine: holds at most three bytes of an open character.
 
