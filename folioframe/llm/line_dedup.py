@@ -1,11 +1,11 @@
-"""Line dedup over content-defined chunks of lines, or over all runs of lines.
-
-A rolling hash over the hashes of neighbouring lines chooses chunk boundaries, so
-inserted lines move only the boundaries next to them; a line of many words is a chunk of
-its own. Runs are the shortest runs of lines with enough words that begin or end at each line:
-whatever lines two documents share, of enough words together, is covered by runs they
-share. Pieces are counted globally by hash; the bytes of those that repeat are
-compared, and all but the copy in the document with the smallest id are removed.
+"""Line dedup over content-defined chunks of lines, and over runs of lines that chunks cut.
+
+A rolling hash over the hashes of WINDOW neighbouring lines chooses boundaries, so inserted lines move
+only the boundaries next to them; a chunk closes at a boundary once it has LEAST_WORDS words. Chunks are counted
+globally by hash, the bytes of those that repeat are compared, and all but the copy in the first document are
+removed. A repeated passage that is shorter than a chunk, or that a chunk's ends cut, is found by its runs: the shortest
+runs of lines with enough words that begin or end at each line. Whatever lines two documents share, of enough
+words together, is covered by runs they share.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from ._kernels import U64, batch_of, distinct, mix, prefix_hash, row_index, slices, span_hash, word_spans
 from ._shared import stored
 
-#: Words that make a line a chunk of its own, and the fewest words of a chunk or run that may be removed.
-LONG_LINE, LEAST_WORDS = 10, 10
-#: A boundary follows a short line if the rolling hash is 0 modulo this: the mean of lines in a chunk.
-MEAN_LINES = 2
+#: The fewest words of a chunk or run.
+LEAST_WORDS = 10
+#: Lines whose hashes the rolling hash covers, and its modulus: the mean of lines between boundaries.
+WINDOW, MEAN_LINES = 3, 4
 _LOWEST = -(1 << 63)
 
 
@@ -43,19 +43,27 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash, words) of every chunk; bytes without the last line's end."""
+    """(row, start, end, hash, words) of every chunk, by row and start; bytes without the last line's end.
+
+    A row's last chunk ends with the row, however few its words are.
+    """
     rows, starts, ends, words, last = _lines(buf, offs)
     h = prefix_hash(buf)
     line = span_hash(h, starts, ends)
-    long = words >= LONG_LINE
-    before = np.concatenate([[U64(0)], line[:-1]])
-    before[np.concatenate([[True], last[:-1]])] = 0
-    roll = mix(line * U64(0x9E3779B97F4A7C15) + before)
-    cut = last | long | (roll % U64(MEAN_LINES) == 0)
-    cut[:-1] |= long[1:]
-    tail = np.flatnonzero(cut)
-    head = np.concatenate([[0], tail[:-1] + 1]) if len(tail) else tail
+    first = np.concatenate([[True], last[:-1]])
+    place = np.arange(len(line)) - np.maximum.accumulate(np.where(first, np.arange(len(line)), 0)) if len(line) else line
+    roll = np.zeros(len(line), U64)
+    for k in range(WINDOW - 1, -1, -1):  # lines before the row's first count as 0
+        before = np.concatenate([np.zeros(k, U64), line[: len(line) - k]])
+        roll = mix(roll * U64(0x9E3779B97F4A7C15) + np.where(place >= k, before, U64(0)))
     total = np.concatenate([[0], np.cumsum(words)])
+    tail, begun = [], 0
+    for i in np.flatnonzero(last | (roll % U64(MEAN_LINES) == 0)).tolist():
+        if last[i] or total[i + 1] - total[begun] >= LEAST_WORDS:
+            tail.append(i)
+            begun = i + 1
+    tail = np.array(tail, np.int64)
+    head = np.concatenate([[0], tail[:-1] + 1]) if len(tail) else tail
     return rows[head], starts[head], ends[tail], span_hash(h, starts[head], ends[tail]), total[tail + 1] - total[head]
 
 
@@ -78,8 +86,22 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return rows[head], starts[head], ends[tail], span_hash(prefix_hash(buf), starts[head], ends[tail]), total[tail + 1] - total[head]
 
 
-def _key(name: str = "doc_id"):
-    return F.coalesce(F.col(name).cast("long"), F.lit(_LOWEST))
+def pieces(buf: np.ndarray, offs: np.ndarray, passages: bool) -> tuple[np.ndarray, ...]:
+    """Chunks, with ``passages`` also runs, of LEAST_WORDS words or more, by row, start and end."""
+    found = chunks(buf, offs)
+    if passages:
+        found = tuple(map(np.concatenate, zip(found, runs(buf, offs))))
+    use = np.flatnonzero(found[4] >= LEAST_WORDS)
+    order = use[np.lexsort((found[2][use], found[1][use], found[0][use]))]
+    row, start, end = (x[order] for x in found[:3])
+    new = np.ones(len(order), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1])
+    return tuple(x[order[new]] for x in found)
+
+
+def _key(id_col: str, text_col: str):
+    """(doc, tie): the order of documents. Rows without an id come first, and rows of one id go by their texts' hashes."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)), F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _free(name: str, taken: list[str]) -> str:
@@ -92,56 +114,57 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, with repeated chunks removed from the text, and
     ``n_chunks_removed`` and ``n_chars_removed`` (replacing columns of these names).
 
-    Of equal chunks of LEAST_WORDS words or more the first in the document with the smallest id stays. With
+    Of equal chunks of LEAST_WORDS words or more the first in the first document, by id, stays. With
     ``passages`` the same holds for all runs of lines of LEAST_WORDS words or more, wherever they begin: a line
-    goes if it is in a run that an earlier document, or the document before the run, has too; what is
+    goes if it is in a chunk or run that an earlier document, or the document before it, has too; what is
     removed in one piece counts as one chunk. Blank lines at the ends of a passage stay. Null
-    texts stay null, empty ones empty, and rows are never dropped. Rows that share an id count as
-    one document. Null ids are the smallest. An empty table gives no rows.
+    texts stay null, empty ones empty, and rows are never dropped. Rows without an id come before others, each distinct text a
+    document of its own; rows that share an id are documents too, in the order of their texts' hashes; rows with the same
+    id and text are one document and come out alike. An empty table gives no rows.
     """
     docs = docs.drop("n_chunks_removed", "n_chars_removed")
     names = docs.columns
-    place, pieces = names.index(text_col), runs if passages else chunks
-    occurrence = pa.schema([("hash", pa.int64()), ("doc", pa.int64())])
+    place, width = names.index(text_col), len(names)
+    occurrence = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offs in slices(batch.column(1)):
-                row, _, _, h, words = pieces(buf, offs)
-                use = words >= LEAST_WORDS
-                yield batch_of(occurrence, h[use].view(np.int64), batch.column(0).slice(a, b - a).take(pa.array(row[use])))
+            for a, b, buf, offs in slices(batch.column(2)):
+                row, _, _, h, _ = pieces(buf, offs, passages)
+                yield batch_of(occurrence, h.view(np.int64), *(batch.column(c).slice(a, b - a).take(pa.array(row)) for c in range(2)))
 
-    found = docs.select(_key(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "hash long, doc long")
+    doc_key, tie_key = _key(id_col, text_col)
+    found = docs.select(doc_key.alias("doc"), tie_key.alias("tie"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "hash long, doc long, tie long")
     again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    listed = stored(found.join(again, "hash").groupBy("doc").agg(F.collect_set("hash").alias("hashes")), "line-hashes")
+    listed = stored(found.join(again, "hash").groupBy("doc", "tie").agg(F.collect_set("hash").alias("hashes")), "line-hashes")
 
     # both joins below read one exchange of the documents
-    doc, hashes, gone_col = (_free(n, names) for n in ("_doc", "_hashes", "_gone"))
-    keyed = docs.withColumn(doc, _key(id_col))
-    copies = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("bytes", pa.binary())])
-    width = len(names)
+    doc, tie, hashes, gone_col = (_free(n, names) for n in ("_doc", "_tie", "_hashes", "_gone"))
+    keyed = docs.withColumns({doc: doc_key, tie: tie_key})
+    copies = pa.schema([("hash", pa.int64()), ("md5", pa.string()), ("doc", pa.int64()), ("tie", pa.int64()), ("bytes", pa.binary())])
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(width + 1)
+            wanted = batch.column(width + 2)
             for a, b, buf, offs in slices(batch.column(place).cast(pa.string())):
                 own = wanted.slice(a, b - a)
                 if own.null_count == len(own):
                     continue
-                row, start, end, h, words = pieces(buf, offs)
-                use = np.flatnonzero((words >= LEAST_WORDS) & np.isin(h, own.flatten().to_numpy().astype(np.int64).view(U64)))
-                sets = [set(x or ()) for x in own.to_pylist()]
+                row, start, end, h, _ = pieces(buf, offs, passages)
                 signed = h.view(np.int64)
+                use = np.flatnonzero(np.isin(signed, own.flatten().to_numpy()))
+                sets = [set(x or ()) for x in own.to_pylist()]
                 use = [i for i in use.tolist() if int(signed[i]) in sets[row[i]]]
-                raw = buf.tobytes()
-                yield batch_of(copies, signed[use], batch.column(width).slice(a, b - a).take(pa.array(row[use], pa.int64())), [raw[start[i] : end[i]] for i in use])
+                raw, at = buf.tobytes(), pa.array(row[use], pa.int64())
+                spans = [raw[start[i] : end[i]] for i in use]
+                yield batch_of(copies, signed[use], list(map(_md5, spans)), *(batch.column(width + k).slice(a, b - a).take(at) for k in range(2)), spans)
 
-    lists = listed.select(F.col("doc").alias(doc), F.col("hashes").alias(hashes)).hint("shuffle_hash")
-    same = keyed.join(lists, doc, "left").select(*names, doc, hashes).mapInArrow(copied, "hash long, doc long, bytes binary")
-    keepers = same.groupBy("hash", "bytes").agg(F.min("doc").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    # the bytes are compared here, once per chunk and document; a digest then names them
-    gone = same.distinct().join(keepers, ["hash", "bytes"]).select("doc", "hash", F.md5("bytes").alias("md5"), (F.col("doc") == F.col("keeper")).alias("first"))
-    marks = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("hash", "md5", "first")).alias(gone_col))
+    lists = listed.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("hashes").alias(hashes)).hint("shuffle_hash")
+    same = stored(keyed.join(lists, [doc, tie], "left").select(*names, doc, tie, hashes).mapInArrow(copied, "hash long, md5 string, doc long, tie long, bytes binary"), "line-copies")
+    # the bytes are compared here; a digest then names them, and only digests are joined
+    keepers = same.groupBy("hash", "bytes").agg(F.min(F.struct("doc", "tie")).alias("keeper"), F.first("md5").alias("md5"), F.count("*").alias("n")).where("n > 1").select("hash", "md5", "keeper")
+    gone = same.select("hash", "md5", "doc", "tie").distinct().join(keepers, ["hash", "md5"]).select("hash", "md5", "doc", "tie", (F.struct("doc", "tie") == F.col("keeper")).alias("first"))
+    marks = gone.groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("hash", "md5", "first")).alias(gone_col))
 
     schema = docs.schema
     kept = pa.schema([("n_chunks_removed", pa.int64()), ("n_chars_removed", pa.int64())])
@@ -150,10 +173,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for a, b, buf, offs in slices(batch.column(place).cast(pa.string())):
                 own = batch.slice(a, b - a)
-                lists = own.column(width + 1).to_pylist()
+                lists = own.column(width + 2).to_pylist()
                 texts, removed, chars = own.column(place).to_pylist(), [0] * (b - a), [0] * (b - a)
                 if any(lists):
-                    row, start, end, h, _ = pieces(buf, offs)
+                    row, start, end, h, _ = pieces(buf, offs, passages)
                     raw, signed, cut = buf.tobytes(), h.view(np.int64).tolist(), np.searchsorted(row, np.arange(b - a + 1))
                     for r, marks_of in enumerate(lists):
                         if not marks_of:
@@ -166,13 +189,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             if signed[i] not in named:
                                 continue
                             a_byte, e_byte = int(start[i]), int(end[i])
-                            key = (signed[i], hashlib.md5(raw[a_byte:e_byte], usedforsecurity=False).hexdigest())
+                            key = (signed[i], _md5(raw[a_byte:e_byte]))
                             if key not in left:
                                 continue
                             if left[key] is None:
                                 left[key] = e_byte
                             elif a_byte >= left[key]:
-                                if passages and gone_spans and a_byte <= gone_spans[-1][1] + 1:
+                                if gone_spans and a_byte <= gone_spans[-1][1] + passages:
                                     gone_spans[-1][1] = max(gone_spans[-1][1], e_byte)
                                 else:
                                     gone_spans.append([a_byte, e_byte])
@@ -188,6 +211,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols = [own.column(i) if i != place else pa.array(texts, own.schema.field(i).type) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(chars, pa.int64())], [*names, *kept.names])
 
-    joined = keyed.join(marks.hint("shuffle_hash"), doc, "left").select(*names, doc, gone_col)
+    joined = keyed.join(marks.hint("shuffle_hash"), [doc, tie], "left").select(*names, doc, tie, gone_col)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return joined.mapInArrow(remove, f"{out}, n_chunks_removed long, n_chars_removed long")
+
+
+def _md5(data: bytes) -> str:
+    return hashlib.md5(data, usedforsecurity=False).hexdigest()
