@@ -24,6 +24,8 @@ from ._kernels import U64, batch_of, mix, row_index, slices, text_words
 LEAST, COVER = 5, 0.6
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark goes in blocks.
 BLOCK_BYTES = 16 << 20
+#: Seeds of documents and items that are joined at once.
+SEEDS = 1 << 20
 
 
 def fingerprints(words: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -77,28 +79,43 @@ class Benchmark:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.hash & U64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def seeds(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The seed join: (row, item, place in row, place in item)."""
+    def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, place among the block's fingerprints) of the runs of words that some item has."""
         start, h = fingerprints(words, at, self.least)
         near = np.flatnonzero(self.sieve[(h & U64((1 << 20) - 1)).astype(np.int64)])
         if not len(near) or not len(self.hash):
-            none = np.empty(0, np.int64)
-            return none, none, none, none
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         start, h = start[near], h[near]
         slot = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         hit = self.hash[slot] == h
-        start, slot = start[hit], slot[hit]
+        return start[hit], slot[hit]
+
+    def postings(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(postings of each slot, end to end, and how many each has)."""
         many = self.count[slot]
-        post = np.repeat(self.first[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        start = np.repeat(start, many)
-        row = np.searchsorted(at, start, "right") - 1
-        return row, self.item[post], start - at[row], self.place[post]
+        return np.repeat(self.first[slot] - (np.cumsum(many) - many), many) + np.arange(many.sum()), many
 
-    def leaks(self, words: np.ndarray, at: np.ndarray, cover: float = COVER) -> Iterator[tuple[int, int, float, int]]:
-        """(row, item, covered share, tiles) of every leak in a slice."""
-        row, item, x, y = self.seeds(words, at)
+    def leaks(self, words: np.ndarray, at: np.ndarray, cover: float = COVER, at_once: int = SEEDS) -> Iterator[tuple[int, int, float, int]]:
+        """(row, item, covered share, tiles) of every leak in a slice, row by row.
+
+        Seeds are joined for as many rows as give ``at_once`` of them; a row with more (repeated tokens in it and in
+        items) is compared item by item along diagonals, in memory of the texts' sizes.
+        """
+        start, slot = self.hits(words, at)
+        row = np.searchsorted(at, start, "right") - 1
+        seeds = np.bincount(row, self.count[slot], len(at) - 1)
+        block = np.cumsum(np.minimum(seeds, at_once)) // max(at_once, 1)
+        for k in np.unique(block[row]).tolist():
+            own = np.flatnonzero((block[row] == k) & (seeds[row] <= at_once))
+            yield from self._joined(row[own], start[own] - at[row[own]], slot[own], cover)
+            for r in np.flatnonzero((block == k) & (seeds > at_once)).tolist():
+                yield from self._along_diagonals(r, words[at[r] : at[r + 1]], np.unique(slot[row == r]), cover)
+
+    def _joined(self, row: np.ndarray, place: np.ndarray, slot: np.ndarray, cover: float) -> Iterator[tuple[int, int, float, int]]:
         if not len(row):
             return
+        post, many = self.postings(slot)
+        row, x, item, y = np.repeat(row, many), np.repeat(place, many), self.item[post], self.place[post]
         order = np.lexsort((y, item, row))
         row, item, x, y = row[order], item[order], x[order], y[order]
         new = np.ones(len(row), bool)
@@ -112,47 +129,70 @@ class Benchmark:
         ends = np.append(heads[1:], len(row))
         for g in np.flatnonzero(most >= cover * self.length[item[heads]] - 1e-9).tolist():
             a, b = heads[g], ends[g]
-            tiles = tile(x[a:b], y[a:b], self.least)
-            n = int(self.length[item[a]])
-            covered = sum(t[2] for t in tiles)
-            if covered >= cover * n - 1e-9:
-                yield int(row[a]), int(item[a]), covered / n, len(tiles)
+            yield from self._judged(int(row[a]), int(item[a]), tile(x[a:b], y[a:b], self.least), cover)
+
+    def _along_diagonals(self, r: int, x: np.ndarray, slots: np.ndarray, cover: float) -> Iterator[tuple[int, int, float, int]]:
+        post, _ = self.postings(slots)
+        items = np.unique(self.item[post])
+        for i in items.tolist():
+            y = np.unique(self.place[post[self.item[post] == i]])
+            most = np.minimum(np.diff(y), self.least).sum() + self.least
+            if most >= cover * self.length[i] - 1e-9:
+                yield from self._judged(r, i, tile_matches(*diagonal_matches(x, self.words[i], self.least), self.least), cover)
+
+    def _judged(self, row: int, item: int, tiles: list, cover: float) -> Iterator[tuple[int, int, float, int]]:
+        n, covered = int(self.length[item]), sum(t[2] for t in tiles)
+        if covered >= cover * n - 1e-9:
+            yield row, item, covered / n, len(tiles)
+
+
+def diagonal_matches(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, length) of every maximal common run of ``least`` tokens or more, one diagonal after the other."""
+    out = []
+    for d in range(least - len(y), len(x) - least + 1):
+        a, b = max(d, 0), max(-d, 0)
+        n = min(len(x) - a, len(y) - b)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], x[a : a + n] == y[b : b + n], [False]]).view(np.int8)))
+        first, end = edge[::2], edge[1::2]
+        long = end - first >= least
+        if long.any():
+            out.append(np.stack([a + first[long], b + first[long], (end - first)[long]]))
+    return tuple(np.concatenate(out, 1)) if out else tuple(np.empty((3, 0), np.int64))
 
 
 def tile(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (x, y, length) from seeds at (x, y): the longest free match first.
-
-    Equal lengths go by the smaller x, then the smaller y. A match that tiles cut is
-    put back by its free parts of ``least`` tokens or more.
-    """
+    """Greedy tiles (x, y, length) from seeds at (x, y)."""
     order = np.lexsort((x, x - y))
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = ((x - y)[1:] != (x - y)[:-1]) | (x[1:] - x[:-1] > 1)
     heads = np.flatnonzero(new)
     last = np.append(heads[1:], len(x)) - 1
-    heap = [(-(int(x[b] - x[a]) + least), int(x[a]), int(y[a])) for a, b in zip(heads, last)]
+    return tile_matches(x[heads], y[heads], x[last] - x[heads] + least, least)
+
+
+def tile_matches(x: np.ndarray, y: np.ndarray, n: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles from maximal matches: the longest free match first.
+
+    Equal lengths go by the smaller x, then the smaller y. A match that tiles cut is
+    put back by its free parts of ``least`` tokens or more.
+    """
+    heap = list(zip((-n).tolist(), x.tolist(), y.tolist()))
     heapq.heapify(heap)
-    used_x: set[int] = set()
-    used_y: set[int] = set()
+    used_x, used_y = (np.zeros(int((v + n).max(initial=0)), bool) for v in (x, y))
     tiles = []
     while heap:
         n, a, b = heapq.heappop(heap)
         n = -n
-        free = [a + i not in used_x and b + i not in used_y for i in range(n)]
-        if all(free):
+        used = used_x[a : a + n] | used_y[b : b + n]
+        if not used.any():
             tiles.append((a, b, n))
-            used_x.update(range(a, a + n))
-            used_y.update(range(b, b + n))
+            used_x[a : a + n] = used_y[b : b + n] = True
             continue
-        i = 0
-        while i < n:
-            j = i
-            while j < n and free[j]:
-                j += 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], used, [True]]).view(np.int8)))
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if j - i >= least:
-                heapq.heappush(heap, (-(j - i), a + i, b + i))
-            i = max(j, i + 1)
+                heapq.heappush(heap, (i - j, a + i, b + i))
     return tiles
 
 
@@ -166,7 +206,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Benchmark]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per leak: doc_id, item_id, coverage (of the item's tokens), n_tiles.
+    """One row per leak: doc_id, item_id, coverage (of the item's tokens), n_tiles. Other columns are not read.
 
     Tokens are runs of letters and digits, without case (``folded``). Null and empty texts and items under
     LEAST tokens have no leaks; repeated rows give repeated leaks; items with a null id leak under a null id; an empty table gives none. The
@@ -193,7 +233,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, bloc
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, without leaks."""
+    """The rows of ``docs``, all columns, without those ``find_leaks`` reports.
+
+    Null and empty texts stay, null ids and repeated rows are judged by their texts alone, an empty table gives no
+    rows, and columns of any name pass through.
+    """
     place, spark = docs.columns.index("text"), docs.sparkSession
     for block in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(block)
