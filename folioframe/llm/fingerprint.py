@@ -100,10 +100,24 @@ class Sketches:
         return [base64.b64encode(r.tobytes()).decode() for r in raw]
 
 
-def differences(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
-    """Digests on which each pair of rows differs, by subtracting and peeling sketches that grow on failure."""
-    out, cells = np.zeros(len(a_at) - 1, np.int64), CELLS
-    todo = np.arange(len(out))
+    def some(self, a: int, b: int) -> Sketches:
+        """The tables of rows a to b."""
+        out, cut = Sketches(0, self.cells), slice(a * self.cells, b * self.cells)
+        out.rows, out.count, out.keys, out.checks = b - a, self.count[cut], self.keys[cut], self.checks[cut]
+        return out
+
+    def minus(self, other: Sketches) -> Sketches:
+        """The cells of self less those of ``other``, row by row."""
+        out = Sketches(0, self.cells)
+        out.rows, out.count, out.keys, out.checks = self.rows, self.count - other.count, self.keys - other.keys, self.checks - other.checks
+        return out
+
+
+def differences(first: Sketches, second: Sketches, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """Digests on which each pair of rows differs: the two sketches are subtracted and peeled, and where peeling
+    stops early, sketches of the digests themselves, each time GROW times as large."""
+    out, whole = first.minus(second).peel()
+    todo, cells = np.flatnonzero(~whole), first.cells * GROW
     a_row, b_row = row_index(a_at), row_index(b_at)
     while len(todo):
         # a table far smaller than the difference in size cannot peel: such rows wait for a larger one
@@ -149,11 +163,12 @@ def compare_with_next(texts: list[bytes]) -> list[tuple]:
     e, e_at = pieces(np.frombuffer(b"".join(edited), np.uint8), e_offs)
     own, own_at, nxt, nxt_at = p[: p_at[rows]], p_at[: rows + 1], p[p_at[1] :], p_at[1:] - p_at[1]
     n, n_e, n_next = np.diff(own_at), np.diff(e_at), np.diff(nxt_at)
-    first, second = Sketches(rows, CELLS), Sketches(rows, CELLS)
-    first.add(own, row_index(own_at))
+    all_rows, second = Sketches(rows + 1, CELLS), Sketches(rows, CELLS)
+    all_rows.add(p, row_index(p_at))
     second.add(e, row_index(e_at))
-    near_e = likeness(differences(own, own_at, e, e_at), n, n_e)
-    near_n = likeness(differences(own, own_at, nxt, nxt_at), n, n_next)
+    first, third = all_rows.some(0, rows), all_rows.some(1, rows + 1)
+    near_e = likeness(differences(first, second, own, own_at, e, e_at), n, n_e)
+    near_n = likeness(differences(first, third, own, own_at, nxt, nxt_at), n, n_next)
     shas = [hashlib.sha256(t).hexdigest() for t in edited]
     return list(zip(chars[:-1].tolist(), shas, first.text(), second.text(), near_e.tolist(), near_n.tolist()))
 
@@ -161,35 +176,48 @@ def compare_with_next(texts: list[bytes]) -> list[tuple]:
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are in ascending (doc_id, text) order, null ids first; the next of the last is
-    the first, and of a single one itself. Null counts as empty; an empty table gives
-    no rows; other columns are not read. Texts are dealt once, by ranges of ids; the first document
-    of a range also goes to the range before it.
+    Documents are in ascending order of ids, null ids first, and rows of one id in the order of their texts' hashes; the next
+    of the last is the first, and of a single one itself. Null counts as empty; an empty table gives
+    no rows; other columns are not read. Texts are dealt once, by ranges of ids; an id that fills several ranges is
+    split by its texts' hashes. The first document of a range also goes to the range before it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)).alias("key"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    splits = np.unique(np.array(points, np.int64))
+    points = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    splits, many = np.unique(np.array(points, np.int64), return_counts=True)
+    # an id that is a split point c times fills c - 1 ranges or more: it gets as many parts. Hashes of texts are asked for in that case only
+    parts = np.concatenate([[1], many]).astype(np.int64)
+    before_parts = np.cumsum(parts) - parts
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    docs = docs.select(key.alias("key"), (F.xxhash64(text) if len(points) > len(splits) else F.lit(0).cast("long")).alias("tie"), text.alias("text"))
+
+    def ranges(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        base = np.searchsorted(splits, key, "right")
+        c = parts[base]
+        share = ((tie.astype(np.float64) + 2.0**63) / 2.0**64 * c).astype(np.int64)
+        own = np.append(splits, 0)[base - 1] == key
+        return (before_parts[base] + np.where(own & (base > 0), np.minimum(share, c - 1), c - 1)).astype(np.int32)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(splits, key, "right").astype(np.int32)), batch.column(0)], ["pid", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges(batch.column(0).to_numpy(), batch.column(1).to_numpy())), *batch.columns], ["pid", "key", "tie"])
 
     # one row per range: as many as partitions
-    firsts = sorted((r["pid"], r["first"]) for r in docs.select("key").mapInArrow(numbered, "pid int, key long").groupBy("pid").agg(F.min("key").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    heads = np.array(sorted(before), np.int64)
-    schema = pa.schema([("pid", pa.int32()), ("role", pa.int32()), ("key", pa.int64()), ("text", pa.string())])
+    found = docs.select("key", "tie").mapInArrow(numbered, "pid int, key long, tie long").groupBy("pid").agg(F.min(F.struct("key", "tie")).alias("first")).collect()
+    firsts = sorted((r["pid"], r["first"]["key"], r["first"]["tie"]) for r in found)
+    before = {(k, t): firsts[i - 1][0] for i, (_, k, t) in enumerate(firsts)}
+    heads = np.array(sorted(k for k, _ in before), np.int64)
+    schema = pa.schema([("pid", pa.int32()), ("role", pa.int32()), ("key", pa.int64()), ("tie", pa.int64()), ("text", pa.string())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            yield batch_of(schema, np.searchsorted(splits, key, "right").astype(np.int32), np.zeros(len(key), np.int32), batch.column(0), batch.column(1))
-            head = np.flatnonzero(np.isin(key, heads))
+            key, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield batch_of(schema, ranges(key, tie), np.zeros(len(key), np.int32), *batch.columns)
+            head = np.array([i for i in np.flatnonzero(np.isin(key, heads)).tolist() if (int(key[i]), int(tie[i])) in before], np.int64)
             if len(head):
-                yield batch_of(schema, [before[k] for k in key[head].tolist()], np.ones(len(head), np.int32), batch.column(0).take(pa.array(head)), batch.column(1).take(pa.array(head)))
+                at = pa.array(head)
+                yield batch_of(schema, [before[k, t] for k, t in zip(key[head].tolist(), tie[head].tolist())], np.ones(len(head), np.int32), *(c.take(at) for c in batch.columns))
 
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -203,7 +231,7 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
             return batch_of(out, [None if i == _LOWEST else i for i in ids], *map(list, zip(*rows)))
 
         for batch in batches:
-            data = batch.column(3).cast(pa.large_binary())
+            data = batch.column(4).cast(pa.large_binary())
             for i, (role, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if role and not ids:
                     continue
@@ -216,5 +244,6 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
                     texts.append(text)
                     held += len(text)
 
-    dealt = docs.mapInArrow(deal, "pid int, role int, key long, text string").repartitionById(n, F.col("pid"))
-    return dealt.sortWithinPartitions("pid", "role", "key", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    total = int(parts.sum())
+    dealt = docs.mapInArrow(deal, "pid int, role int, key long, tie long, text string").repartitionById(max(n, total), F.col("pid"))
+    return dealt.sortWithinPartitions("pid", "role", "key", "tie", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
