@@ -83,10 +83,38 @@ _SHINGLES = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 _BITS = "array_to_string(list_transform(range(20), lambda i: lpad(bin(CAST('0x' || substr(sha1(coalesce(html, '')), 2 * i + 1, 2) AS INTEGER)), 8, '0')), '')"
 _BASE32 = f"array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, 5 * j + k + 1, 1) AS INTEGER) * CAST(power(2, 4 - k) AS INTEGER))) AS BIGINT), 1)), '')"
 
+
+
+def _spans_sql(order: int, kind: str, pattern: str, group: int, least: int, base: bool) -> str:
+    """Matches of one rule with their places: the lengths of the pieces between matches and of the matches add up."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, {base} AS base, unnest(list_filter(list_transform(range(1, len(ms) + 1), lambda i: {{'s': list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0), 'n': length(ms[i]), 'g': length(gs[i])}}), lambda m: m.g >= {least})) AS m
+ FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, regexp_split_to_array(t, '{p}') AS ps FROM d)"""
+
+
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+_KINDS = [
+    ("assign", f"""({_EITHER})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, True),
+    ("hex", "[0-9a-f]+", 0, 24, True),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, False),
+    ("hub_token", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False),
+    ("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, False),
+]
+_ALL_SPANS = " UNION ALL ".join(_spans_sql(k, *rule) for k, rule in enumerate(_KINDS))
+
 ORACLES: dict[str, str] = {
     # copies make few pairs at this size; the self-join is on shared shingles
     "op1_near_dedup": f"""WITH RECURSIVE {_SHINGLES}, r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, y FROM r JOIN e ON r.c = x)
  SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON n.doc_id = m.doc_id""",
     "op9_warc": f"""SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
  FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, {_BITS} AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)""",
+    "op7_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_ALL_SPANS}),
+ j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c, string_agg(kind || ':' || CAST(m.s AS BIGINT) || ':' || CAST(m.s + m.n AS BIGINT), ',' ORDER BY m.s, o) FILTER (base) AS bases, string_agg(kind || ':' || CAST(m.s AS BIGINT) || ':' || CAST(m.s + m.n AS BIGINT), ',' ORDER BY m.s, o) AS spans FROM f GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j ON d.doc_id = j.doc_id""",
+    # the articles of these tables hold paragraphs, headings, bold type, line breaks and two character references
+    "op8_html": r"""SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(
+   regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), '&quot;', '"'), '</?b>', '', 'g'), '&amp;?', '&', 'g'), chr(1)),
+   lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)""",
 }

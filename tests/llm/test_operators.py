@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, near_dedup, quality, secret_scan, toxicity, warc
-from folioframe.llm._kernels import shingles, slices, text_words, word_hashes, word_spans
+from folioframe.llm._kernels import prefix_hash, shingles, slices, span_hash, text_words, word_hashes, word_spans
+from folioframe.llm._shared import stored
 from folioframe.llm.queries import vocabulary
 
 rng = random.Random(5)
@@ -243,6 +244,32 @@ def test_fingerprints_awkward(spark, awkward):
     assert (alone.doc_id, alone.near_next) == (8, 1.0)
 
 
+def test_fingerprints_of_a_hot_id(spark):
+    """Rows of one id, and rows without one, are split over ranges and stay in one ring."""
+    rows = [(None, prose(8)) for _ in range(40)] + [(5, prose(8)) for _ in range(60)] + [(i, prose(8)) for i in range(100, 130)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, DOCS).repartition(4), 8)
+    assert got.select(F.spark_partition_id()).distinct().count() >= 6
+    texts = {hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest(): (i, t, u) for i, t in rows for _, u in rows}
+    ring = [texts[r.edited_sha256] for r in got.collect()]
+    assert collections.Counter(i for i, _, _ in ring) == collections.Counter(i for i, _ in rows)
+    after, seen, t = {t: u for _, t, u in ring}, [], rows[0][1]
+    while t not in seen:
+        seen.append(t)
+        t = after[t]
+    assert len(seen) == len({t for _, t in rows}) and t == rows[0][1]
+
+
+def test_first_try_reads_the_returned_sketches():
+    keys = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.array([0, len(keys)])
+    whole, less = fingerprint.Sketches(1, fingerprint.CELLS), fingerprint.Sketches(1, fingerprint.CELLS)
+    whole.add(keys, np.zeros(4, int))
+    less.add(keys[:3], np.zeros(3, int))
+    assert whole.minus(less).peel()[0].tolist() == [1]
+    none = np.empty(0, np.uint64)  # the digests themselves are not asked for where the sketches peel
+    assert fingerprint.differences(whole, less, none, np.array([0, 0]), none, np.array([0, 0])).tolist() == [1]
+
+
 # ---- decontamination ----------------------------------------------------------------------------
 def plain_tiles(x, y, least):
     used_x, used_y, out = set(), set(), []
@@ -295,6 +322,44 @@ def test_leaks_in_another_case(spark):
     assert decontaminate.folded(bad).to_pylist() == [decontaminate.folded(pa.array([item]))[0].as_py() + "\ufffd", None]
 
 
+def test_repeated_tokens_stay_within_memory(spark):
+    """Rows with more seeds than are joined at once are compared along diagonals, with the same tiles."""
+    texts = ["a " * 60, "a b " * 40 + prose(10), f"{'a ' * 30}{prose(20)} {'a ' * 30}", prose(50), "", "b a " * 9 + "c " + "a b " * 12]
+    items = ["a " * 40, "a b " * 20, prose(20), "b a " * 10 + "c a b a b a b", "a a"]
+    bench = decontaminate.Benchmark(list(range(len(items))), items)
+    words, at = text_words(*only(texts))
+    want = sorted(bench.leaks(words, at))
+    assert len(want) >= 4 and all(sorted(bench.leaks(words, at, at_once=n)) == want for n in (1, 40, 500, 3000))
+    for _ in range(100):
+        x, y = (np.array([rng.choice("ab") for _ in range(rng.randint(0, 40))]) for _ in range(2))
+        assert decontaminate.tile_matches(*decontaminate.diagonal_matches(x, y, 3), 3) == plain_tiles(x.tolist(), y.tolist(), 3)
+    hostile = decontaminate.Benchmark([1], ["a " * 2000])
+    assert [f[1:3] for f in hostile.leaks(*text_words(*only(["a " * 20_000])))] == [(0, 1.0)]
+
+
+def test_leaks_equal_brute_force(spark):
+    """Whole rows: every document against every item, tile by tile."""
+    items = [prose(rng.randint(6, 40)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [prose(rng.randint(0, 20))]
+        for t in rng.sample(items, rng.randint(0, 3)):
+            w = t.split()
+            a, b = sorted((rng.randrange(len(w)), rng.randrange(len(w))))
+            parts += rng.choice([[" ".join(w)], [" ".join(w[a:] + w[:a])], [" ".join(w[a:b])], [" ".join(w[: len(w) // 2]), prose(2), " ".join(w[len(w) // 2 :])]])
+        rows.append((i, " ".join(parts)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_tiles) for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), bench).collect()}
+    want = {}
+    for i, t in rows:
+        for k, item in enumerate(items):
+            x, y = re.findall(r"\w+", t), re.findall(r"\w+", item)
+            tiles = plain_tiles(x, y, decontaminate.LEAST)
+            if sum(n for *_, n in tiles) >= decontaminate.COVER * len(y) - 1e-9:
+                want[i, k] = (sum(n for *_, n in tiles) / len(y), len(tiles))
+    assert len(want) > 15 and got == want
+
+
 def test_leaks_of_items_without_an_id(spark):
     one, two = prose(20), prose(20)
     docs = spark.createDataFrame([(1, one), (2, f"a {two} b"), (3, prose(30))], DOCS)
@@ -393,14 +458,33 @@ def test_every_pretoken_runs_through_the_machine(monkeypatch):
 
 # ---- line dedup ---------------------------------------------------------------------------------
 def plain_chunks(text):
-    buf, offs = only([text])
-    _, start, end, _, words = line_dedup.chunks(buf, offs)
-    raw = buf.tobytes()
-    return [(raw[a:b].decode(), int(w)) for a, b, w in zip(start, end, words)]
+    """The chunk rule spelt out: after a line whose window hashes to 0 a chunk of enough words ends."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        for k, f in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> k) * f & m64
+        return x ^ x >> 31
+
+    lines = text.split("\n")
+    raw = [t.encode() for t in lines]
+    # the hash of a line stands for its bytes; the kernel's own is tested with the words
+    hashes = [int(span_hash(prefix_hash(np.frombuffer(r, np.uint8)), np.array([0]), np.array([len(r)]))[0]) for r in raw]
+    out, held = [], []
+    for i, line in enumerate(lines):
+        held.append(line)
+        roll = 0
+        for k in range(line_dedup.WINDOW - 1, -1, -1):
+            roll = mix((roll * 0x9E3779B97F4A7C15 + (hashes[i - k] if i >= k else 0)) & m64)
+        words = sum(len(re.findall(r"[^\x20\x09-\x0d]+", x)) for x in held)
+        if i == len(lines) - 1 or roll % line_dedup.MEAN_LINES == 0 and words >= line_dedup.LEAST_WORDS:
+            out.append(("\n".join(held), words))
+            held = []
+    return out
 
 
 def test_line_dedup_equals_brute_force(spark):
-    shared = ["\n".join(prose(rng.randint(1, 15)) for _ in range(6)) for _ in range(5)]
+    shared = ["\n".join(prose(rng.randint(1, 15)) for _ in range(25)) for _ in range(5)]
     rows = []
     for i in range(80):
         parts = [prose(rng.randint(0, 14)) for _ in range(rng.randint(1, 8))]
@@ -410,6 +494,7 @@ def test_line_dedup_equals_brute_force(spark):
     rows += [(90, None), (91, ""), (92, rows[0][1])]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
     count = collections.Counter(c for _, t in rows for c, w in plain_chunks(t or "") if w >= line_dedup.LEAST_WORDS)
+    assert sum("\n" in c for c, n in count.items() if n > 1) > 10
     seen = set()
     for i, t in rows:
         if t is None:
@@ -426,6 +511,30 @@ def test_line_dedup_equals_brute_force(spark):
     assert "\n".join(c for c, _ in plain_chunks(rows[3][1])) == rows[3][1]
 
 
+def test_chunks_resist_shifts():
+    """A line put in moves only the boundaries next to it."""
+    changed = []
+    for _ in range(60):
+        lines = [prose(rng.randint(1, 15)) for _ in range(80)]
+        at = rng.randrange(80)
+        before, after = (collections.Counter(c for c, _ in plain_chunks("\n".join(x))) for x in (lines, lines[:at] + [prose(5)] + lines[at:]))
+        changed.append(sum((before - after).values()))
+    assert max(changed) <= 8 and np.mean(changed) < 2.5
+
+
+def test_line_dedup_rows_without_an_id(spark):
+    """Rows without an id, and rows that share one, are documents; equal rows come out alike."""
+    line, other = prose(12), prose(14)
+    rows = [(None, f"a\n{line}"), (None, f"b\n{line}"), (None, f"b\n{line}"), (7, f"{other}\nx"), (7, f"{other}\ny"), (8, f"z\n{line}\n{other}")]
+    for passages in (False, True):
+        got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).withColumn("_doc", F.lit(1)).withColumn("_tie", F.lit("t")), passages=passages).collect()
+        assert len(got) == 6 and {"_doc", "_tie"} <= set(got[0].asDict())
+        if passages:
+            assert sorted(r.text for r in got if r.doc_id is None) in map(sorted, (["a", f"b\n{line}", f"b\n{line}"], [f"a\n{line}", "b", "b"]))
+            assert sorted(r.text for r in got if r.doc_id == 7) in map(sorted, (["x", f"{other}\ny"], [f"{other}\nx", "y"]))
+            assert [r.text for r in got if r.doc_id == 8] == ["z"]
+
+
 def test_line_dedup_awkward(spark, awkward):
     got = line_dedup.dedup_lines(awkward)
     assert got.columns == [c for c in awkward.columns if c != "n_chunks_removed"] + ["n_chunks_removed", "n_chars_removed"]
@@ -477,6 +586,38 @@ def test_secrets_equal_brute_force(spark, awkward):
     assert secret_scan.scan_secrets(awkward).count() == 11 and secret_scan.scan_secrets(awkward.limit(0)).count() == 0
 
 
+def test_kept_index_gives_the_same(spark, awkward):
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["token=abcdef1", prose(4), "AKIA" + "Q7" * 9, "x-key"]) for _ in range(9))) for i in range(60)], DOCS).repartition(3)
+    index = stored(secret_scan.build_index(docs), "index")
+    for rules in (secret_scan.RULES, (secret_scan.Rule("late", r"x-key \w+"),)):
+        assert sorted(secret_scan.search_index(index, rules).collect()) == sorted(secret_scan.scan_secrets(docs, rules=rules).collect())
+    assert secret_scan.search_index(secret_scan.build_index(awkward)).count() == 11 and secret_scan.search_index(secret_scan.build_index(awkward.limit(0))).count() == 0
+
+
+def test_index_equals_the_expressions():
+    """Rules with letters beyond ASCII and case folding miss nothing."""
+    rules = tuple(secret_scan.Rule(p, p, f) for p in ("schlüssel=[a-z]+", "secret=x", "[kK]ey:é+", "(?i:straße|kiss)", "a(?:bcd|ßx)e?", "日本語", "İstanbul", "ab{2}c|xyz$", "(?=abcd)ab", r"\bfoo\w+") for f in (0, re.ASCII, re.IGNORECASE, re.IGNORECASE | re.ASCII))
+    words = "schlüssel=abc SCHLÜSSEL=abc ſecret=x SECRET=X key:é Key:ééé KEY:É \u212aey:é straße STRASSE Straße kiSS KISS abcde aßxe aßXE 日本語 istanbul İstanbul abbc xyz abcd foobar FOOBAR".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 3))) for _ in range(300)] + ["", None, "ab", "日"]
+    got = secret_scan.scan_texts(texts, rules)
+    for t, found in zip(texts, got):
+        want = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "", r.flags))
+        assert found == want
+    assert sum(map(len, got)) > 500
+
+
+def test_segments_hold_all_postings():
+    texts = [prose(rng.randint(0, 6)) + rng.choice(["", "É", "Xy"]) for _ in range(40)]
+    segment = secret_scan.Segment.of(*only(texts))
+    want = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        b = t.encode().lower()
+        for k in range(len(b) - 2):
+            want[b[k : k + 3]].add(i)
+    assert len(segment.codes) == len(want) and all(segment.postings(g.decode("latin-1")).tolist() == sorted(rows) for g, rows in want.items())
+    assert segment.postings("###").tolist() == []
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is True and secret_scan.trigram_query("ab|cdef") is True
     assert secret_scan.trigram_query("abcx+d") == "abc"
@@ -523,6 +664,40 @@ def test_html_copies_keep_their_text(spark):
         assert {r.page_id: r.text for r in html_text.extract(df, group_tokens=tokens).collect()} == {1: text, 2: text, 3: text, 4: "short words", 5: alone, 6: alone, 7: "", 8: text}
 
 
+def test_pages_equal_what_they_were_made_of(spark):
+    """Whole pages of known text among boilerplate of every kind, some elements never closed."""
+    import html as escapes
+
+    def noise():
+        t = prose(rng.randint(1, 9))
+        return rng.choice([f"<nav><ul><li><a href='/x'>{t}</a></li></ul></nav>", f"<div class='ad banner'>{t}</div>", f"<aside><p>{t}</p></aside>", f"<form>{t}<input></form>", f"<div id=cookie-notice><p>{t}</p></div>", f"<script>if (a<b) '{t}'</script>", f"<!-- {t} <p> -->", f"<style>{t}</style>", f"<section class='comments'><div><article class=comment>{t}</article></div></section>", f"<div role=navigation>{t}</div>"])
+
+    rows, want = [], {}
+    for i in range(120):
+        texts = [prose(rng.randint(1, 12)) + rng.choice(["", " & <b> \"q\"", " é日", " x < y"]) for _ in range(rng.randint(0, 7))]
+        if i == 7:
+            texts = [prose(9) for _ in range(8000)]
+        body = ""
+        for t in texts:
+            e = escapes.escape(t).replace(" ", rng.choice([" ", "  ", "\n\t"]))
+            body += rng.choice([f"<p>{e}", f"<p>{e}</p>", f"<h2>{e}</h2>", f"<div><p><b>{e}<br></p></div>", f"<ul><li>{e}</li></ul>", f"<blockquote><em>{e}</em></blockquote>"])
+            body += rng.choice(["", noise()])
+        page = f"<!DOCTYPE html><html><head><title>t</title></head><body>{noise()}<article class=post>{noise()}{body}</article>{noise()}<footer>f</footer></body></html>"
+        rows.append((i, f"http://h{i % 3}/{i}", page))
+        want[i] = "\n".join(texts)
+    rows += rows[:5]
+    got = html_text.extract(spark.createDataFrame(rows, PAGE)).collect()
+    assert len(got) == 125 and [r.page_id for r in got if r.text != want[r.page_id] or r.n_chars != len(r.text)] == []
+
+
+def test_repetition_alone(spark):
+    """Without structure, what other pages of the host repeat goes and unique runs stay."""
+    menu = prose(8)
+    rows = [(i, "http://h/", f"<nav>{menu}</nav><article>unique{i} {prose(5)}</article>") for i in range(5)]
+    got = html_text.extract(spark.createDataFrame(rows, PAGE), structure=False).collect()
+    assert all(menu not in r.text and r.text.startswith(f"unique{r.page_id}") for r in got)
+
+
 def test_repeated_runs_equal_brute_force():
     g = np.random.default_rng(0)
     for _ in range(60):
