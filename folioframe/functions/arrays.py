@@ -46,3 +46,14 @@ def attribute(values: Column, name: str, default: Column | None = None) -> Colum
             return F.coalesce(x[name], default)
         return F.coalesce(x[name], F.raise_error(F.lit(f"missing {name}")))
     return F.transform(values, take)
+
+
+def flattened(lists: Column) -> Column:
+    """One array of all elements of an array of arrays, in order; null lists count as empty."""
+    return F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+
+
+def offsets(start: Column, widths: Column) -> Column:
+    """Positions from a start and the widths after it: running sums."""
+    sums = F.aggregate(widths, F.array(start), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w)))
+    return F.when(widths.isNotNull(), sums)

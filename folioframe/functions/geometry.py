@@ -92,6 +92,11 @@ def box_rect() -> Column:
     return rect(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))
 
 
+def whole_point(p: Column) -> Column:
+    """A point with coordinates rounded half to even."""
+    return F.struct(F.bround(p["x"]).cast("int").alias("x"), F.bround(p["y"]).cast("int").alias("y"))
+
+
 def rect_center(a: Column) -> Column:
     return point(a["l"] + (a["r"] - a["l"]) / 2, a["t"] + (a["b"] - a["t"]) / 2)
 

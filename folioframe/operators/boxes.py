@@ -83,27 +83,38 @@ def sections_of(positions: DataFrame, start: float = -1.0) -> DataFrame:
     return positions.select(*KEYS, (F.row_number().over(w) - 1).alias("section_idx"), F.lag("pos", 1, start).over(w).alias("sec_lo"), F.col("pos").alias("sec_hi"))
 
 
+def marks_of(positions: DataFrame) -> DataFrame:
+    """(keys, _marks): each page's positions as a sorted array, a row a page."""
+    return positions.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.col("pos").cast("double"))).alias("_marks"))
+
+
+def below(marks: Column, at: Column) -> Column:
+    """How many of the sorted ``marks`` lie below ``at``: the index of the section (mark before, mark] that holds it."""
+    return F.size(F.filter(marks, lambda m: m < at))
+
+
 def split_by_positions(boxes: DataFrame, positions: DataFrame, direction: str, alignment: str = "high", keep_empty: bool = False, check: bool = True) -> DataFrame:
     """Boxes with the section that holds their edge ('high', 'low') or centre ('middle').
 
     ``keep_empty`` gives sections without boxes a row of null box columns. ``check`` fails the query if
-    a box of a page with positions is in no section.
+    a box of a page with positions is in no section. A box finds its section among the page's sorted positions, so
+    no box meets every section.
     """
     low, high, extent = borders(direction)
     if alignment not in ("low", "middle", "high"):
         raise ValueError("alignment must be 'low', 'middle' or 'high'")
     at = {"low": F.col(low), "high": F.col(high), "middle": F.col(low) + F.col(extent) / 2}[alignment]
     rest = [c for c in boxes.columns if c not in KEYS]
-    sections = sections_of(positions)
+    placed = boxes.withColumn("_at", at).join(marks_of(positions), list(KEYS)).withColumn("section_idx", below(F.col("_marks"), F.col("_at")))
+    inside = (F.col("_at") > -1) & (F.col("section_idx") < F.size("_marks"))
     if check:
-        bounds = sections.groupBy(*KEYS).agg(F.max("sec_hi").alias("_most"), F.min("sec_lo").alias("_least"))
-        lost = (at > F.col("_most")) | (at <= F.col("_least"))
-        at = F.when(lost, F.raise_error(F.lit("a text box is in no section")).cast("double")).otherwise(at)
-        boxes = boxes.join(bounds, list(KEYS))
-    boxes = boxes.withColumn("_at", at).select(*KEYS, *rest, "_at")
-    inside = [boxes[k] == sections[k] for k in KEYS] + [boxes["_at"] > sections["sec_lo"], boxes["_at"] <= sections["sec_hi"]]
-    found = sections.join(boxes, inside, "left" if keep_empty else "inner")
-    return found.select(*(sections[k] for k in KEYS), *rest, "section_idx", "sec_lo", "sec_hi")
+        placed = placed.withColumn("section_idx", F.when(inside | F.col("_at").isNull(), F.col("section_idx")).otherwise(F.raise_error(F.lit("a text box is in no section")).cast("int")))
+    placed = placed.where(inside)
+    if not keep_empty:
+        lower = F.when(F.col("section_idx") == 0, F.lit(-1.0)).otherwise(F.get("_marks", F.col("section_idx") - 1))
+        return placed.select(*KEYS, *rest, "section_idx", lower.alias("sec_lo"), F.get("_marks", F.col("section_idx")).alias("sec_hi"))
+    held = placed.select(*KEYS, "section_idx", *rest)
+    return sections_of(positions).join(held, [*KEYS, "section_idx"], "left").select(*KEYS, *rest, "section_idx", "sec_lo", "sec_hi")
 
 
 def put_in_lines(boxes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -177,6 +188,24 @@ def footer_boxes(boxes: DataFrame, pages: DataFrame, from_top: float = 0.7, tall
     return joined.where((F.col("top") >= from_top * F.col("_page")) & (F.col("height") >= taller * F.col("_median"))).select(*boxes.columns)
 
 
+def wide_enough(boxes: DataFrame, least_width: float = 15) -> DataFrame:
+    """Boxes of ``least_width`` or more: specks left out."""
+    return boxes.where(F.col("width") >= least_width)
+
+
+def between(positions: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Positions from each page's ``top_y`` to its ``bottom_y``, both included; pages without bounds have none."""
+    joined = positions.join(bounds.select(*KEYS, "top_y", "bottom_y"), list(KEYS))
+    return joined.where("pos >= top_y and pos <= bottom_y").select(*positions.columns)
+
+
+def line_heights(positions: DataFrame) -> DataFrame:
+    """(keys, n_lines, median_line, min_line, max_line): distances of neighbouring line positions; nulls for a single line."""
+    step = F.col("pos") - F.lag("pos").over(Window.partitionBy(*KEYS).orderBy("pos"))
+    each = positions.withColumn("_step", step).groupBy(*KEYS)
+    return each.agg(F.count("*").alias("n_lines"), F.median("_step").alias("median_line"), F.min("_step").alias("min_line"), F.max("_step").alias("max_line"))
+
+
 def page_medians(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*KEYS).agg(F.median("height").alias("median_height"), F.min("height").alias("min_height"), F.max("height").alias("max_height"))
 

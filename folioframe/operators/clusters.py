@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_p
 from ..schema import KEYS, borders
-from .matching import best_match
+from .boxes import below, marks_of
+from .matching import best_matches
 
 #: Names of aggregates that may give a cluster its centre.
 CENTERS: dict[str, Callable[[str], Column]] = {"median": F.median, "mean": F.avg, "min": F.min, "max": F.max}
+#: A centre is one of these names, or a function from a column's name to an aggregate.
+Center = str | Callable[[str], Column]
+
+
+def center_of(method: Center, value: str) -> Column:
+    return method(value) if callable(method) else CENTERS[method](value)
 
 
 def break_clusters(values: DataFrame, value: str, gap: float, keys: Sequence[str] = KEYS, order: Sequence[str] = (), strict: bool = False) -> DataFrame:
@@ -31,8 +38,8 @@ def break_clusters(values: DataFrame, value: str, gap: float, keys: Sequence[str
 def linkage_clusters(values: DataFrame, value: str, threshold: float, keys: Sequence[str] = KEYS, order: Sequence[str] = (), criterion: str = "distance", method: str = "single", depth: int = 2) -> DataFrame:
     """Hierarchical clusters of the values of each key.
 
-    Single linkage by distance is a gap rule and stays a window; other modes ('single', 'complete',
-    'average' by 'distance', 'inconsistent' or 'maxclust') build the tree of each key's values in numpy.
+    Single linkage by distance is a gap rule and stays a window; other modes (the methods of ``linkage.METHODS``
+    by 'distance', 'inconsistent' or 'maxclust') build the tree of each key's values in numpy.
     """
     if criterion == "distance" and method == "single":
         return break_clusters(values, value, threshold, keys, order, strict=True)
@@ -47,9 +54,20 @@ def linkage_clusters(values: DataFrame, value: str, threshold: float, keys: Sequ
     return values.groupBy(*keys).applyInPandas(run, schema)
 
 
-def cluster_centers(clustered: DataFrame, value: str, method: str = "median", keys: Sequence[str] = KEYS) -> DataFrame:
+def custom_clusters(values: DataFrame, value: str, method: Callable[[np.ndarray], np.ndarray], keys: Sequence[str] = KEYS, order: Sequence[str] = ()) -> DataFrame:
+    """Rows with the ``cluster_id`` that ``method`` gives the sorted values of each key, in Arrow batches."""
+    schema = values.withColumn("cluster_id", F.lit(0)).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([value, *order], kind="stable")
+        return pdf.assign(cluster_id=np.asarray(method(pdf[value].to_numpy(float))).astype(np.int32))
+
+    return values.groupBy(*keys).applyInPandas(run, schema)
+
+
+def cluster_centers(clustered: DataFrame, value: str, method: Center = "median", keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per cluster: keys, cluster_id, center, n."""
-    return clustered.groupBy(*keys, "cluster_id").agg(CENTERS[method](value).alias("center"), F.count("*").alias("n"))
+    return clustered.groupBy(*keys, "cluster_id").agg(center_of(method, value).alias("center"), F.count("*").alias("n"))
 
 
 def steady_clusters(clustered: DataFrame, value: str, most_std: float, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -86,10 +104,9 @@ def row_positions(clustered: DataFrame) -> DataFrame:
 def column_borders(boxes: DataFrame, positions: DataFrame, least: Column | int) -> DataFrame:
     """(keys, pos): left borders of columns with ``least`` centres or more, then the rightmost right edge of the last
     kept column's start midway, and that edge."""
-    w = Window.partitionBy(*KEYS).orderBy("pos")
-    spans = positions.select(*KEYS, F.lag("pos").over(w).alias("_lo"), F.col("pos").alias("_hi")).where("_lo is not null")
     center = F.col("left") + F.col("width") / 2
-    counted = spans.join(boxes.select(*KEYS, center.alias("_c"), "right"), list(KEYS)).where("_c > _lo and _c <= _hi").groupBy(*KEYS, "_lo", "_hi").agg(F.count("*").alias("_n"))
+    placed = boxes.join(marks_of(positions), list(KEYS)).withColumn("_i", below(F.col("_marks"), center)).where("_i > 0 and _i < size(_marks)")
+    counted = placed.groupBy(*KEYS, F.element_at("_marks", F.col("_i")).alias("_lo")).agg(F.count("*").alias("_n"))
     kept = counted.where(F.col("_n") >= least)
     edge = boxes.groupBy(*KEYS).agg(F.max("right").alias("_edge"))
     last = kept.groupBy(*KEYS).agg(F.max("_lo").alias("_last")).join(edge, list(KEYS))
@@ -110,29 +127,36 @@ def header_top(centers: DataFrame, pages: DataFrame, share: float = 0.25) -> Dat
 
 
 def match_arrays(arrays: DataFrame, models: DataFrame, most_difference: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Each key's array (column ``base``) fitted to its document's ``model``: keys, positions, difference."""
-    joined = arrays.join(models, [c for c in models.columns if c in arrays.columns]) if set(models.columns) & set(arrays.columns) else arrays.crossJoin(F.broadcast(models.limit(1)))
+    """Each key's array (column ``base``) fitted to its ``model``: keys, positions, difference.
+
+    ``models`` has a model for each value of the key columns it shares with ``arrays``; it must share some.
+    """
+    shared = [c for c in models.columns if c in keys]
+    if not shared:
+        raise ValueError("models must have a key column of the arrays")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema if f.name in keys) + ", positions array<double>, difference double"
 
     def run(batches):
         for pdf in batches:
-            got = [best_match(np.asarray(b, float), np.asarray(m, float), most_difference) for b, m in zip(pdf["base"], pdf["model"])]
-            yield pdf[list(keys)].assign(positions=[list(p) for p, _ in got], difference=[float(d) for _, d in got])
+            got = best_matches([np.asarray(b, float) for b in pdf["base"]], [np.asarray(m, float) for m in pdf["model"]], most_difference)
+            yield pdf[list(keys)].assign(positions=[list(p) for p, _ in got], difference=[d for _, d in got])
 
-    return joined.select(*keys, "base", "model").mapInPandas(run, schema)
+    return arrays.join(models.select(*shared, "model"), shared).select(*keys, "base", "model").mapInPandas(run, schema)
 
 
-def adjust_centers(clustered: DataFrame, value: str, n_required: int, gap: float, scaling: DataFrame | None = None, most_difference: float | None = None, doc: Sequence[str] = ("doc_id",)) -> DataFrame:
+def adjust_centers(clustered: DataFrame, value: str, n_required: int, gap: float, scaling: DataFrame | None = None, most_difference: float | None = None, doc: Sequence[str] = ("doc_id",), center: Center = "median", method: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Column centres of every page fitted to a model of the document: keys, positions, difference.
 
-    Page centres (medians) less the page's first are pooled and clustered again by ``gap``; the largest
+    Page centres less the page's first are pooled and clustered again by ``gap``; the largest
     clusters with distinct medians (ties: lower ones) are the model, or all if they are fewer than
-    ``n_required``. ``scaling`` (keys, scale) divides the results.
+    ``n_required``. ``scaling`` (keys, scale) divides the results. ``center`` gives the page centres and ``method``,
+    from sorted values to cluster numbers, may replace the clustering by ``gap``.
     """
-    centers = cluster_centers(clustered, value)
+    centers = cluster_centers(clustered, value, center)
     pages = centers.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "center"))), lambda x: x["center"]).alias("base"))
     pooled = pages.select(*KEYS, F.posexplode("base").alias("_i", "_c"), "base").withColumn("norm", F.col("_c") - F.element_at("base", 1))
-    again = break_clusters(pooled.select(*doc, "page_num", "_i", "norm"), "norm", gap, doc, ("page_num", "_i"))
+    pooled = pooled.select(*doc, "page_num", "_i", "norm")
+    again = break_clusters(pooled, "norm", gap, doc, ("page_num", "_i")) if method is None else custom_clusters(pooled, "norm", method, doc, ("page_num", "_i"))
     found = again.groupBy(*doc, "cluster_id").agg(F.median("norm").alias("m"), F.count("*").alias("n"))
     first = found.groupBy(*doc, "m").agg(F.min(F.struct(-F.col("n"), F.col("cluster_id"))).alias("rank"))
     model = first.groupBy(*doc).agg(F.array_sort(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "m"))), 1, n_required), lambda x: x["m"])).alias("model"))
@@ -259,9 +283,14 @@ def table_rows(boundaries: DataFrame, boxes: DataFrame, pattern: str) -> DataFra
     """Sections of consecutive row boundaries whose boxes match, as (keys, row_start, row_end).
 
     A section holds the boxes whose bottom is in (last boundary that closed a non-empty section, boundary]."""
-    w = Window.partitionBy(*KEYS).orderBy("pos")
-    spans = boundaries.select(*KEYS, F.coalesce(F.lag("pos").over(w), F.lit(0.0)).alias("_lo"), F.col("pos").alias("_hi"))
-    b = boxes.select(*KEYS, "bottom", F.col("value").rlike(pattern).alias("_hit"))
-    held = spans.join(b, list(KEYS)).where("bottom > _lo and bottom <= _hi").groupBy(*KEYS, "_lo", "_hi").agg(F.max("_hit").alias("_hit"))
+    placed = boxes.select(*KEYS, "bottom", F.col("value").rlike(pattern).alias("_hit")).join(marks_of(boundaries), list(KEYS)).where("bottom > 0")
+    placed = placed.withColumn("_i", below(F.col("_marks"), F.col("bottom"))).where("_i < size(_marks)")
+    held = placed.groupBy(*KEYS, F.element_at("_marks", F.col("_i") + 1).alias("_hi")).agg(F.max("_hit").alias("_hit"))
     start = F.coalesce(F.lag("_hi").over(Window.partitionBy(*KEYS).orderBy("_hi")), F.lit(0.0))
     return held.withColumn("row_start", start).where("_hit").select(*KEYS, "row_start", F.col("_hi").alias("row_end"))
+
+
+def row_borders(rows: DataFrame) -> DataFrame:
+    """(keys, pos): where the table's rows begin and end, each position once: the table begins at the first row's start and
+    goes on from row to row until a section does not match."""
+    return rows.select(*KEYS, F.explode(F.array("row_start", "row_end")).alias("pos")).distinct()

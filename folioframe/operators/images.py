@@ -116,6 +116,19 @@ def draw_segments(canvas: np.ndarray, segments: list[tuple[float, float, float,
     return out
 
 
+#: The digits 0 to 9, three dots wide and five high.
+DIGITS = ("### #.# #.# #.# ###", ".#. ##. .#. .#. ###", "### ..# ### #.. ###", "### ..# ### ..# ###", "#.# #.# ### ..# ..#", "### #.. ### ..# ###", "### #.. ### #.# ###", "### ..# ..# ..# ..#", "### #.# ### #.# ###", "### #.# ### ..# ###")
+
+
+def number_segments(number: int, x: float, y: float) -> list[tuple[float, float, float, float]]:
+    """The dots of a number as segments, from (x, y) to the right and down, each dot two pixels wide and high."""
+    out = []
+    for k, digit in enumerate(str(number)):
+        for j, row in enumerate(DIGITS[int(digit)].split()):
+            out += [(x + 8 * k + 2 * i, y + 2 * j, x + 8 * k + 2 * i, y + 2 * j + 1) for i, dot in enumerate(row) if dot == "#"]
+    return out
+
+
 def _drawn(images: DataFrame, marks: DataFrame, background: bool) -> DataFrame:
     """Images with the segments of ``marks`` (keys, ax, ay, bx, by, b, g, r) drawn; images without any are copied."""
     listed = marks.groupBy(*KEYS).agg(F.collect_list(F.array("ax", "ay", "bx", "by", F.col("b").cast("double"), F.col("g").cast("double"), F.col("r").cast("double"))).alias("marks"))
@@ -134,8 +147,16 @@ def _drawn(images: DataFrame, marks: DataFrame, background: bool) -> DataFrame:
     return joined.mapInPandas(run, "doc_id string, page_num int, width int, height int, channels int, data binary")
 
 
-def draw_lines(images: DataFrame, projected: DataFrame, background: bool = True) -> DataFrame:
-    """Horizontal lines in green, vertical ones in red, from end points ax, ay, bx, by."""
+def draw_lines(images: DataFrame, projected: DataFrame, background: bool = True, numbers: bool = False) -> DataFrame:
+    """Horizontal lines in green, vertical ones in red, from end points ax, ay, bx, by; with ``numbers`` each
+    line's line_seq stands at its middle in the line's colour."""
+    if numbers:
+        @F.pandas_udf("array<struct<ax:double,ay:double,bx:double,by:double>>")
+        def dots(seq: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([[dict(zip(("ax", "ay", "bx", "by"), map(float, d))) for d in number_segments(int(n), a, b)] for n, a, b in zip(seq, x, y)])
+
+        middle = projected.where("not isnan(ax + ay + bx + by)").withColumn("_dot", F.explode(dots("line_seq", F.rint((F.col("ax") + F.col("bx")) / 2), F.rint((F.col("ay") + F.col("by")) / 2))))
+        projected = projected.select(*KEYS, "dir", "ax", "ay", "bx", "by").unionByName(middle.select(*KEYS, "dir", "_dot.*"))
     own = projected.select(*KEYS, "ax", "ay", "bx", "by", F.lit(0).alias("b"), F.when(F.col("dir") == "h", 255).otherwise(0).alias("g"), F.when(F.col("dir") == "h", 0).otherwise(255).alias("r"))
     return _drawn(images, own, background)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schema import KEYS, ROTATION, SKEW_X, SKEW_Y, VERTICAL, borders, check_direction
-from .clusters import CENTERS, break_clusters, cluster_centers, nearest_center, steady_clusters
+from .boxes import below, marks_of
+from .clusters import Center, break_clusters, center_of, cluster_centers, custom_clusters, nearest_center, steady_clusters
 
 
 def with_direction(lines: DataFrame) -> DataFrame:
@@ -66,27 +67,32 @@ def projected(lines: DataFrame, pages: DataFrame, fixed: bool = False) -> DataFr
     return ab.select(*lines.columns, "img_width", "img_height", *(F.col(f"_ab.{c}").alias(c) for c in ("ax", "ay", "bx", "by")))
 
 
-def line_clusters(lines: DataFrame, pages: DataFrame, direction: str, gap: float, most_std: float | None = None, fixed: bool = False) -> DataFrame:
-    """Lines of a direction with ``pos`` (the middle of their end points' coordinate) and ``cluster_id``."""
+def line_clusters(lines: DataFrame, pages: DataFrame, direction: str, gap: float, most_std: float | None = None, fixed: bool = False, method=None) -> DataFrame:
+    """Lines of a direction with ``pos`` (the middle of their end points' coordinate) and ``cluster_id``: by ``gap``, or
+    by ``method`` from sorted positions to cluster numbers."""
     axis = "x" if check_direction(direction) == VERTICAL else "y"
     own = projected(lines.where(F.col("dir") == direction), pages, fixed)
     own = own.withColumn("pos", (F.col(f"a{axis}") + F.col(f"b{axis}")) / 2)
-    found = break_clusters(own, "pos", gap, KEYS, ("line_seq",))
+    found = break_clusters(own, "pos", gap, KEYS, ("line_seq",)) if method is None else custom_clusters(own, "pos", method, KEYS, ("line_seq",))
     return found if most_std is None else steady_clusters(found, "pos", most_std)
 
 
-def drop_empty_sections(clustered: DataFrame, boxes: DataFrame, scales: DataFrame, direction: str, ratio: float, center: str = "median") -> DataFrame:
+def drop_empty_sections(clustered: DataFrame, boxes: DataFrame, scales: DataFrame, direction: str, ratio: float, center: Center = "median") -> DataFrame:
     """Clusters before which enough boxes lie, and the one just before the first of them.
 
     A box counts for the section up to a centre (divided by the page's ``scale``) if either edge is in it;
     enough is the median count times ``ratio``, rounded half to even.
     """
     low, high, _ = borders("h" if check_direction(direction) == VERTICAL else "v")
-    centers = clustered.groupBy(*KEYS, "cluster_id").agg(CENTERS[center]("pos").alias("_c")).join(scales.select(*KEYS, "scale"), list(KEYS))
+    centers = clustered.groupBy(*KEYS, "cluster_id").agg(center_of(center, "pos").alias("_c")).join(scales.select(*KEYS, "scale"), list(KEYS))
     w = Window.partitionBy(*KEYS).orderBy("_c", "cluster_id")
-    secs = centers.withColumn("_c", F.col("_c") / F.col("scale")).withColumn("_lo", F.lag("_c", 1, -1.0).over(w))
-    hit = ((F.col(low) > F.col("_lo")) & (F.col(low) <= F.col("_c"))) | ((F.col(high) > F.col("_lo")) & (F.col(high) <= F.col("_c")))
-    met = secs.join(boxes.select(*KEYS, low, high), list(KEYS), "left").groupBy(*KEYS, "cluster_id", "_c").agg(F.count(F.when(hit, 1)).alias("_n"))
+    secs = centers.withColumn("_c", F.col("_c") / F.col("scale")).withColumn("_i", F.row_number().over(w) - 1)
+    # an edge finds its section among the page's sorted centres; a box counts once for each section that has an edge of it
+    marks = secs.select(*KEYS, F.col("_c").alias("pos"))
+    place = lambda c: F.when(F.col(c) > -1, below(F.col("_marks"), F.col(c)))
+    hits = boxes.join(marks_of(marks), list(KEYS)).select(*KEYS, F.explode(F.array_distinct(F.array_compact(F.array(place(low), place(high))))).alias("_i"))
+    counts = hits.groupBy(*KEYS, "_i").agg(F.count("*").alias("_n"))
+    met = secs.select(*KEYS, "cluster_id", "_c", "_i").join(counts, [*KEYS, "_i"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))).drop("_i")
     enough = F.bround(F.median("_n").over(Window.partitionBy(*KEYS)) * ratio)
     kept = met.withColumn("_keep", F.col("_n") >= enough)
     after = F.lead("_keep").over(w)

@@ -5,14 +5,22 @@ from __future__ import annotations
 import numpy as np
 
 
+#: How the distance of two groups is taken: nearest or farthest members, means, the means of merged groups' means, or the
+#: growth of the sum of squares. In one dimension the centroid is the mean, and the median rule the weighted one.
+METHODS = ("single", "complete", "average", "centroid", "weighted", "median", "ward")
+
+
 def tree(values: np.ndarray, method: str = "single") -> np.ndarray:
     """Merges (left, right, height, size) of sorted values; only neighbours ever merge in one dimension."""
-    if method not in ("single", "complete", "average"):
-        raise ValueError("method must be 'single', 'complete' or 'average'")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    halves = method in ("weighted", "median")
     groups = [(i, float(v), float(v), float(v), 1) for i, v in enumerate(values)]  # node, least, most, mean, size
     merges = []
 
     def distance(a, b) -> float:
+        if method == "ward":
+            return float(np.sqrt(2 * a[4] * b[4] / (a[4] + b[4]))) * (b[3] - a[3])
         return b[1] - a[2] if method == "single" else b[2] - a[1] if method == "complete" else b[3] - a[3]
 
     while len(groups) > 1:
@@ -20,7 +28,7 @@ def tree(values: np.ndarray, method: str = "single") -> np.ndarray:
         a, b = groups[k], groups[k + 1]
         size = a[4] + b[4]
         merges.append((a[0], b[0], distance(a, b), size))
-        groups[k : k + 2] = [(len(values) + len(merges) - 1, a[1], b[2], (a[3] * a[4] + b[3] * b[4]) / size, size)]
+        groups[k : k + 2] = [(len(values) + len(merges) - 1, a[1], b[2], (a[3] + b[3]) / 2 if halves else (a[3] * a[4] + b[3] * b[4]) / size, size)]
     return np.array(merges, float).reshape(-1, 4)
 
 

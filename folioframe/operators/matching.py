@@ -1,15 +1,12 @@
-"""Best match of an array to a model that starts at zero."""
+"""Best match of arrays to models that start at zero, for many pairs at once."""
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
+from collections import defaultdict
+from collections.abc import Sequence
 
 import numpy as np
 
-#: Choices up to which every one is tried; beyond, a dynamic programme finds the best.
-EXHAUSTIVE = 20_000
-
 
 def difference(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) != len(b) or not len(a):
@@ -17,78 +14,79 @@ def difference(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sum(np.abs(a - b)))
 
 
-def _left_out(long: np.ndarray, short: np.ndarray) -> tuple[int, ...]:
-    """Indices of ``long`` to leave out so that the rest is nearest to ``short``; of equals the first in order.
+def _left_out(long: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """For each row of ``long`` (rows, n), which columns to leave out so that the rest is nearest to that row of ``short``.
 
-    Costs to go over (index in long, index in short); leaving out wins ties, as earlier indices come first.
+    Costs to go over (column of long, column of short) by dynamic programming; leaving out wins ties, so of
+    equals the first in the order of indices left out is taken.
     """
-    n, m = len(long), len(short)
+    rows, n = long.shape
+    m = short.shape[1]
     k = n - m
-    cost = np.full((n + 1, m + 1), np.inf)
+    cost = np.full((n + 2, m + 2, rows), np.inf)
     cost[n, m] = 0
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i < n and i - j <= k:
-                out = cost[i + 1, j] if i + 1 - j <= k else np.inf
-                keep = abs(long[i] - short[j]) + cost[i + 1, j + 1] if j < m else np.inf
-                cost[i, j] = min(out, keep)
-    i = j = 0
-    gone = []
-    while i < n:
-        if i + 1 - j <= k and cost[i + 1, j] == cost[i, j]:
-            gone.append(i)
-        else:
-            j += 1
-        i += 1
-    return tuple(gone)
-
-
-def surplus(base: np.ndarray, model: np.ndarray, exhaustive: int = EXHAUSTIVE) -> tuple[int, ...]:
-    """Indices of ``base`` to leave out; the model begins at the first value kept."""
-    k = len(base) - len(model)
-    if comb(len(base), k) <= exhaustive:
-        def cost(gone: tuple[int, ...]) -> float:
-            rest = np.delete(base, gone)
-            return difference(rest, model + rest[0])
-
-        return min(combinations(range(len(base)), k), key=cost)
-    best: tuple[float, tuple[int, ...]] | None = None
+    for i in range(n - 1, -1, -1):
+        for j in range(min(i, m), max(i - k, 0) - 1, -1):
+            out = cost[i + 1, j] if i + 1 - j <= k else np.inf
+            keep = np.abs(long[:, i] - short[:, j]) + cost[i + 1, j + 1] if j < m else np.inf
+            cost[i, j] = np.minimum(out, keep)
+    gone, j, own = np.zeros((rows, n), bool), np.zeros(rows, np.int64), np.arange(rows)
+    for i in range(n):
+        gone[:, i] = (i + 1 - j <= k) & (cost[i + 1, j, own] == cost[i, j, own])
+        j += ~gone[:, i]
+    return gone
+
+
+def surplus(base: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """For each row, which columns of ``base`` to leave out; the model begins at the first value kept."""
+    rows, n = base.shape
+    k = n - model.shape[1]
+    best, gone = np.full(rows, np.inf), np.zeros((rows, n), bool)
     for s in range(k + 1):  # the first value kept fixes the model's place
-        gone = tuple(range(s)) + tuple(s + 1 + i for i in _left_out(base[s + 1 :], model[1:] + base[s]))
-        rest = np.delete(base, gone)
-        now = (difference(rest, model + rest[0]), gone)
-        best = now if best is None or now < best else best
-    return best[1]
-
+        placed = model + base[:, s : s + 1]
+        now = np.zeros((rows, n), bool)
+        now[:, :s] = True
+        now[:, s + 1 :] = _left_out(base[:, s + 1 :], placed[:, 1:])
+        cost = np.abs(base[~now].reshape(rows, -1) - placed).sum(1)
+        better = cost <= best  # of equals the one that leaves out more at the beginning
+        best[better], gone[better] = cost[better], now[better]
+    return gone
 
-def missing(base: np.ndarray, model: np.ndarray, exhaustive: int = EXHAUSTIVE) -> tuple[int, ...]:
-    """Indices of ``model`` (put at the first value of ``base``) that ``base`` lacks."""
-    k = len(model) - len(base)
-    if comb(len(model), k) <= exhaustive:
-        return min(combinations(range(len(model)), k), key=lambda gone: difference(np.delete(model, gone) + base[0], base))
-    return _left_out(model + base[0], base)
 
+def best_matches(bases: Sequence[np.ndarray], models: Sequence[np.ndarray], most_difference: float | None = None) -> list[tuple[np.ndarray, float]]:
+    """Each base with surplus values left out or missing ones taken from its model, and its summed difference.
 
-def best_match(base: np.ndarray, model: np.ndarray, most_difference: float | None = None, exhaustive: int = EXHAUSTIVE) -> tuple[np.ndarray, float]:
-    """``base`` with surplus values left out or missing ones taken from the model, and its summed difference.
-
-    Beyond ``most_difference`` the model itself, put at the first value of ``base``, is the result.
+    Beyond ``most_difference`` the model itself, put at the first value of the base, is the result. Pairs of
+    equal sizes are computed together.
     """
-    if not isinstance(base, np.ndarray) or not isinstance(model, np.ndarray):
-        raise TypeError("base and model must be arrays")
-    if not len(base) or not len(model):
-        raise ValueError("base and model must not be empty")
-    placed = model + base[0]
-    if len(base) > len(model):
-        out = np.delete(base, surplus(base, model, exhaustive))
-        diff = difference(out, model + out[0])
-    elif len(base) < len(model):
-        gone = set(missing(base, model, exhaustive))
-        rest = iter(base)
-        out = np.array([placed[i] if i in gone else next(rest) for i in range(len(model))])
-        diff = difference(out, placed)
-    else:
-        out, diff = base.copy(), difference(base, placed)
-    if most_difference is not None and diff > most_difference:
-        return placed, 0.0
-    return out, diff
+    groups: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (b, m) in enumerate(zip(bases, models)):
+        if not isinstance(b, np.ndarray) or not isinstance(m, np.ndarray):
+            raise TypeError("base and model must be arrays")
+        if not len(b) or not len(m):
+            raise ValueError("base and model must not be empty")
+        groups[len(b), len(m)].append(i)
+    out: list = [None] * len(bases)
+    for (n, k), own in groups.items():
+        base, model = np.stack([bases[i] for i in own]).astype(float), np.stack([models[i] for i in own]).astype(float)
+        placed = model + base[:, :1]
+        if n > k:
+            got = base[~surplus(base, model)].reshape(len(own), k)
+            diff = np.abs(got - (model + got[:, :1])).sum(1)
+        elif n < k:
+            got, gone = placed.copy(), _left_out(placed, base)
+            got[~gone] = base.ravel()
+            diff = np.abs(got - placed).sum(1)
+        else:
+            got, diff = base.copy(), np.abs(base - placed).sum(1)
+        if most_difference is not None:
+            far = diff > most_difference
+            got[far], diff[far] = placed[far], 0.0
+        for i, g, d in zip(own, got, diff.tolist()):
+            out[i] = (g, d)
+    return out
+
+
+def best_match(base: np.ndarray, model: np.ndarray, most_difference: float | None = None) -> tuple[np.ndarray, float]:
+    """``best_matches`` of one pair."""
+    return best_matches([base], [model], most_difference)[0]

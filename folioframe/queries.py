@@ -54,7 +54,18 @@ def single_link_clusters(spark, d):
     return C.linkage_clusters(V.boxes(spark, d), "left", 3, order=("box_seq",)).select(*KEYS, "box_seq", "cluster_id")
 
 
-@query()
+@query(
+    f"SELECT v.doc_id, v.page_num, box_seq, CAST(coalesce(sum(CASE WHEN mx > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY v.doc_id, v.page_num ORDER BY v.i ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS cluster_id FROM v LEFT JOIN mx ON v.doc_id = mx.doc_id AND v.page_num = mx.page_num AND v.i = mx.i + 1",
+    V.BOXES,
+    # with single linkage in one dimension every gap between neighbours is a merge; its two parts end at the next larger gaps
+    f"""v AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY "left", box_seq) AS i FROM boxes),
+    g AS (SELECT {_K}, i, lead("left") OVER (PARTITION BY {_K} ORDER BY i) - "left" AS h FROM v QUALIFY h IS NOT NULL),
+    pq AS (SELECT a.doc_id, a.page_num, a.i, a.h, coalesce(max(CASE WHEN b.i < a.i AND b.h > a.h THEN b.i END), 0) AS p, coalesce(min(CASE WHEN b.i > a.i AND b.h >= a.h THEN b.i END), 1000000) AS q FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.page_num = b.page_num GROUP BY ALL),
+    ch AS (SELECT a.doc_id, a.page_num, a.i, a.p, a.q, a.h, max(CASE WHEN b.i < a.i THEN b.h END) AS hl, max(CASE WHEN b.i > a.i THEN b.h END) AS hr FROM pq a JOIN g b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND b.i > a.p AND b.i < a.q GROUP BY ALL),
+    hs AS (SELECT *, list_filter([h, hl, hr], lambda x: x IS NOT NULL) AS l FROM ch), me AS (SELECT *, list_sum(l) / len(l) AS m FROM hs),
+    sd AS (SELECT *, CASE WHEN len(l) > 1 THEN sqrt(list_sum(list_transform(l, lambda x: (x - m) * (x - m))) / (len(l) - 1)) ELSE 0 END AS s FROM me), inc AS (SELECT *, CASE WHEN s > 0 THEN (h - m) / s ELSE 0 END AS c FROM sd),
+    mx AS (SELECT a.doc_id, a.page_num, a.i, max(b.c) AS mx FROM inc a JOIN inc b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND b.i > a.p AND b.i < a.q GROUP BY ALL)""",
+)
 def inconsistent_clusters(spark, d):
     return C.linkage_clusters(V.boxes(spark, d).select(*KEYS, "box_seq", "left"), "left", 1.0, order=("box_seq",), criterion="inconsistent").select(*KEYS, "box_seq", "cluster_id")
 
@@ -137,27 +148,55 @@ def _arrays(spark, d):
     return _columns(spark, d).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos_idx", "pos"))), lambda x: x["pos"]).alias("base"))
 
 
-@query()
+#: Arrays as text, six digits a number.
+_LIST = "array_to_string(list_transform({}, lambda x: CAST(round(x, 6) AS VARCHAR)), ',')"
+#: Every choice of values to leave out, tried for each page's ``base`` and ``model`` of j; of equals the first in order.
+_MATCH = f"""masks AS (SELECT n, gone FROM (SELECT n, list_filter(range(n), lambda i: (mask >> i) & 1 = 1) AS gone FROM range(1, 9) t(n), range(256) u(mask) WHERE mask < (1 << n))),
+ cand AS (SELECT j.*, gone, list_transform(model, lambda x: x + base[1]) AS placed, list_filter(base, lambda x, i: len(base) <= len(model) OR NOT list_contains(gone, i - 1)) AS rest FROM j JOIN masks ON n = greatest(len(base), len(model)) AND len(gone) = abs(len(base) - len(model))),
+ cost AS (SELECT *, CASE WHEN len(base) >= len(model) THEN list_sum(list_transform(model, lambda x, i: abs(rest[i] - (x + rest[1])))) ELSE list_sum(list_transform(list_filter(placed, lambda x, i: NOT list_contains(gone, i - 1)), lambda x, i: abs(x - base[i]))) END AS diff FROM cand),
+ best AS (SELECT *, CASE WHEN len(base) >= len(model) THEN rest ELSE list_transform(placed, lambda x, i: CASE WHEN list_contains(gone, i - 1) THEN x ELSE base[i - len(list_filter(gone, lambda g: g < i - 1))] END) END AS out FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY diff, gone) AS k FROM cost) WHERE k = 1)"""
+
+
+def _listed(c):
+    return F.array_join(F.transform(c, lambda x: F.round(x, 6).cast("string")), ",").alias("positions")
+
+
+@query(f"SELECT {_K}, {_LIST.format('CASE WHEN diff > 60 THEN placed ELSE out END')} AS positions, CASE WHEN diff > 60 THEN 0 ELSE diff END AS difference FROM best", _COLS, f"j AS (SELECT {_K}, list(pos ORDER BY pos_idx) AS base, [0.0::DOUBLE, 100, 200, 300] AS model FROM per GROUP BY ALL)", _MATCH)
 def best_matching_array(spark, d):
     model = F.array(*[F.lit(100.0 * i) for i in range(4)]).alias("model")
     arrays = _arrays(spark, d)
-    return C.match_arrays(arrays, arrays.select("doc_id").distinct().select("doc_id", model), 60.0)
+    return C.match_arrays(arrays, arrays.select("doc_id").distinct().select("doc_id", model), 60.0).select(*KEYS, _listed("positions"), "difference")
 
 
-@query()
+@query(
+    f"SELECT {_K}, {_LIST.format('out')} AS positions, diff AS difference FROM best", _COLS,
+    f"""pg0 AS (SELECT *, pos - lag(pos) OVER (PARTITION BY {_K} ORDER BY pos, pos_idx) AS gap FROM per), pg1 AS (SELECT *, sum(CASE WHEN gap >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY pos, pos_idx ROWS UNBOUNDED PRECEDING) AS c FROM pg0),
+    pc AS (SELECT {_K}, c, median(pos) AS center FROM pg1 GROUP BY ALL), b AS (SELECT {_K}, list(center ORDER BY c) AS base FROM pc GROUP BY ALL),
+    po AS (SELECT {_K}, unnest(base) - base[1] AS norm, generate_subscripts(base, 1) AS i FROM b), po0 AS (SELECT *, norm - lag(norm) OVER (PARTITION BY doc_id ORDER BY norm, page_num, i) AS gap FROM po),
+    po1 AS (SELECT *, sum(CASE WHEN gap >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY norm, page_num, i ROWS UNBOUNDED PRECEDING) AS c FROM po0), f AS (SELECT doc_id, c, median(norm) AS m, count(*) AS n FROM po1 GROUP BY ALL),
+    fm AS (SELECT doc_id, m, max(n) AS n, arg_max(c, (n, -c)) AS c FROM f GROUP BY ALL), md AS (SELECT doc_id, list(m ORDER BY m) AS model FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS k FROM fm) WHERE k <= 4 GROUP BY doc_id),
+    j AS (SELECT {_K}, base, model FROM b JOIN md USING (doc_id))""", _MATCH,
+)
 def adjusted_centers(spark, d):
     clustered = C.break_clusters(_columns(spark, d), "pos", 30, order=("pos_idx",))
-    return C.adjust_centers(clustered, "pos", 4, 30)
+    return C.adjust_centers(clustered, "pos", 4, 30).select(*KEYS, _listed("positions"), "difference")
 
 
-@query()
+@query(
+    f"""SELECT {_K}, {_LIST.format("CASE WHEN bad THEN list_transform(means, lambda x, i: p[1] + x - means[1]) ELSE p END")} AS positions, bad AS adjusted FROM (SELECT *, means IS NOT NULL AND (len(p) <> n OR list_min(own) < 0 OR coalesce(stat > crit[len(p) - 2], false)) AS bad FROM (SELECT *,
+     list_sum(list_transform(own, lambda x, i: (x - wid[i]) * (x - wid[i]) / wid[i])) AS stat FROM w))""", _COLS,
+    # a probability below 0.05 is a statistic above the quantile of its degrees of freedom
+    f"""a AS (SELECT {_K}, list(pos ORDER BY pos_idx) AS p FROM per GROUP BY ALL), e AS (SELECT doc_id, CAST(floor(median(len(p))) AS INTEGER) AS n FROM a GROUP BY doc_id),
+    gm AS (SELECT doc_id, pos_idx, avg(pos) AS m FROM (SELECT a.doc_id, unnest(p) AS pos, generate_subscripts(p, 1) AS pos_idx FROM a JOIN e ON a.doc_id = e.doc_id AND len(p) = n) GROUP BY ALL), ms AS (SELECT doc_id, list(m ORDER BY pos_idx) AS means FROM gm GROUP BY doc_id),
+    w AS (SELECT a.*, n, means, list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1]) AS own, list_transform(range(2, len(means) + 1), lambda i: means[i] - means[i - 1]) AS wid, [3.841458820694124, 5.991464547107979, 7.814727903251179, 9.487729036781154, 11.070497693516351, 12.591587243743977] AS crit FROM a JOIN e USING (doc_id) LEFT JOIN ms USING (doc_id))""",
+)
 def chi2_adjust_positions(spark, d):
-    return C.adjust_bad_positions(_arrays(spark, d).withColumnRenamed("base", "positions"))
+    return C.adjust_bad_positions(_arrays(spark, d).withColumnRenamed("base", "positions")).select(*KEYS, _listed("positions"), "adjusted")
 
 
-@query(f"SELECT {_K}, abs(a[1] - a[-1]) + abs(a[2] - a[-2]) AS difference FROM (SELECT {_K}, list(pos ORDER BY pos_idx) AS a FROM per GROUP BY ALL) WHERE len(a) = 2", _COLS)
+@query(f"SELECT {_K}, list_sum(list_transform(a, lambda x, i: abs(x - a[len(a) + 1 - i]))) AS difference FROM (SELECT {_K}, list(pos ORDER BY pos_idx) AS a FROM per GROUP BY ALL)", _COLS)
 def array_match_diff(spark, d):
-    return _arrays(spark, d).where(F.size("base") == 2).select(*KEYS, A.match_difference(F.col("base"), F.reverse("base")).alias("difference"))
+    return _arrays(spark, d).select(*KEYS, A.match_difference(F.col("base"), F.reverse("base")).alias("difference"))
 
 
 @query(f"SELECT {_K}, list_concat(list_concat([0.0::DOUBLE], a), [9999.0::DOUBLE]) AS filled FROM (SELECT {_K}, list(pos ORDER BY pos_idx) AS a FROM per GROUP BY ALL)".replace(" AS filled", "::VARCHAR AS filled"), _COLS)
@@ -347,6 +386,11 @@ _FIT = (*_GRID, f"""scored AS (SELECT x.*, row_idx, col_idx, least(least((r - l)
  fitted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, box_seq ORDER BY isect DESC, center_dist, row_idx, col_idx) AS k FROM scored) WHERE k = 1)""")
 
 
+def _fits_steps(stop: int) -> tuple:
+    """The fit to a grid whose columns end at ``stop``."""
+    return tuple(c.replace("range(0, 901, 100)", f"range(0, {stop + 1}, 100)") for c in _FIT)
+
+
 def _grid(spark, d):
     return R.make_grid(V.steps(spark, d, 0, 900, 100), V.steps(spark, d, 0, 1008, 48))
 
@@ -606,45 +650,6 @@ def xml_pages(spark, d):
     return parse_pages(_xml(spark, d))
 
 
-def _images(spark, d):
-    """A white page image for each page of lines, with two of its rules drawn."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for doc, page in pdf.itertuples(index=False):
-                a = np.full((140, 100), 255, np.uint8)
-                a[:, 20 + page] = 0
-                a[30 + page] = 0
-                rows.append((doc, page, 100, 140, 1, a.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "width", "height", "channels", "data"])
-
-    return V.line_pages(spark, d).select(*KEYS).mapInPandas(run, "doc_id string, page_num int, width int, height int, channels int, data binary")
-
-
-@query(f"SELECT DISTINCT {_K}, unnest(['h', 'v']) AS dir, unnest([30 + page_num, 20 + page_num]) AS near FROM lines", V.LINES)
-def image_lines(spark, d):
-    from .operators.images import detect_lines
-
-    found = detect_lines(_images(spark, d), least_votes=60).where("abs(theta) < 1e-9 or abs(theta - pi() / 2) < 1e-9")
-    middle = found.groupBy(*KEYS, "dir").agg(F.round(F.avg("rho")).cast("int").alias("near"))
-    return middle.select(*KEYS, "dir", "near")
-
-
-@query(f"SELECT DISTINCT {_K}, 0 AS region_id, round(140.0 / (140 * 40), 6) AS ratio FROM lines UNION ALL SELECT DISTINCT {_K}, 1, 0.0 FROM lines", V.LINES)
-def image_fill_ratio(spark, d):
-    from .operators.images import fill_ratios
-
-    images = _images(spark, d)
-    regions = images.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("region_id"), F.lit(a).alias("l"), F.lit(t).alias("t"), F.lit(b).alias("r"), F.lit(u).alias("b")) for k, a, t, b, u in ((0, 10, 0, 50, 140), (1, 0, 0, 10, 20))))).alias("x")).select(*KEYS, "x.*")
-    vertical_only = images.select(*KEYS, "width", "height", "channels", "data")
-    ratios = fill_ratios(vertical_only, regions)
-    # the horizontal rule adds its own pixels: counted out, so the share is that of the vertical one
-    return ratios.select(*KEYS, F.col("region_id").cast("int").alias("region_id"), F.round(F.when(F.col("region_id") == 0, F.col("ratio") - 39 / 5600).otherwise(F.col("ratio")), 6).alias("ratio"))
-
-
 @query()
 def pipeline_line_guided(spark, d):
     from .plans.pipelines import line_guided
@@ -666,3 +671,6 @@ def pipeline_position_only(spark, d):
     from .plans.pipelines import position_only
 
     return position_only(V.boxes(spark, d), V.pages(spark, d), 3, 3, 4, 10)
+
+
+from . import more_queries  # noqa: E402, F401 - registers its queries

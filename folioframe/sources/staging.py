@@ -36,6 +36,20 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return written(df, shared_dir(df.sparkSession, name))
 
 
+def arrow_files(uri: str):
+    """(file system, path) of a folder for reading and writing bytes in tasks.
+
+    Hadoop's names for S3 are mapped; a scheme that has no file system here fails with its name.
+    """
+    from pyarrow import ArrowInvalid, fs
+
+    scheme, _, rest = uri.partition("://")
+    try:
+        return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+    except ArrowInvalid as e:
+        raise ValueError(f"no file system for {scheme}:// paths is available to tasks: {uri}") from e
+
+
 class Scratch:
     """Tables of one run in a folder of their own, deleted together when what needs them is stored."""
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from ..operators.grid import document_json
 
 
+def union_tables(*tables: DataFrame) -> DataFrame:
+    """All rows of tables whose columns differ; columns that a table lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def write_csv(table: DataFrame, path: str) -> None:
     """CSV with a header; every field quoted, since cells may hold line ends."""
     table.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import boxes as B
 from folioframe.operators import grid as R
-from folioframe.operators.images import detect_lines, draw_line_clusters, draw_lines, draw_positions, fill_ratios, split_images
-from folioframe.operators.lines import projected
-from folioframe.plans.pipelines import graded_items
+from folioframe.operators.images import detect_lines, draw_line_clusters, draw_lines, draw_positions, fill_ratios, number_segments, split_images
+from folioframe.operators.lines import projected, with_direction
+from folioframe.plans.pipelines import graded_items, straighten
 from folioframe.schema import BOXES, PAGES
 from folioframe.sources import images as I
 from folioframe.sources import pdfxml as P
 from folioframe.sources import tables as T
+from folioframe.sources.staging import arrow_files
 from folioframe.streaming.pages import run_documents, stream_documents
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
@@ -89,6 +90,10 @@ def test_image_headers(spark, tmp_path):
     assert I.image_size(b"GIF89a" + (9).to_bytes(2, "little") + (4).to_bytes(2, "little") + bytes(20)) == (9, 4)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x06" + bytes(10)
     assert I.image_size(jpeg) == (6, 5)
+    far = b"\xff\xd8" + (b"\xff\xe1\xea\x60" + bytes(59998)) * 3 + jpeg[8:]
+    assert I.image_size(far) == (6, 5)
+    sizes = I.sizes_of(spark.createDataFrame([(1, bytearray(far)), (2, None), (3, bytearray(b"no image"))], "k int, content binary")).orderBy("k").collect()
+    assert [(r.img_width, r.img_height) for r in sizes] == [(6, 5), (None, None), (None, None)]
     (tmp_path / "a.png").write_bytes(png)
     assert I.image_sizes(spark, str(tmp_path / "*.png")).first().img_width == 7
     row = I.read_images(spark, str(tmp_path)).first()
@@ -107,6 +112,9 @@ def test_pixels(spark, tmp_path):
     ends = projected(lines, pages)
     drawn = I.pixels_of(bytes(draw_lines(images, ends, background=False).first().data), 160, 120, 3)
     assert tuple(drawn[5, 61]) in ((0, 0, 255), (0, 0, 0)) and drawn.any()
+    plain, numbered = (I.pixels_of(bytes(draw_lines(images, ends, background=False, numbers=n).first().data), 160, 120, 3) for n in (False, True))
+    assert (numbered > 0).sum() > (plain > 0).sum() and ((plain > 0) <= (numbered > 0)).all()
+    assert len(number_segments(80, 0, 0)) == 13 + 12 and number_segments(1, 5, 7)[0] == (7, 7, 7, 8)
     assert draw_line_clusters(images, ends.withColumn("cluster_id", F.lit(0)).limit(0)).count() == 1
     assert draw_positions(images, lines.select("doc_id", "page_num", F.lit(9.0).alias("pos")).distinct(), "v").count() == 1
     halves = split_images(images, spark.createDataFrame([("d", 1, 59.5)], "doc_id string, page_num int, split_pos double")).orderBy("side").collect()
@@ -128,6 +136,20 @@ def test_graded_items(spark):
     assert [(r.num, r.descr, r.grade) for r in got] == [("1.1", "good work", "B")]
 
 
+def test_straighten(spark):
+    lines = spark.createDataFrame([("d", 1, i, 50.0, t) for i, t in enumerate([0.1, 0.1, np.pi / 2 + 0.1])], "doc_id string, page_num int, line_seq int, rho double, theta double")
+    boxes, upright = straighten(boxes_of(spark, [(1, 10.0, 20.0, 5.0, 5.0, "a")]), with_direction(lines), 0.01, 0.01)
+    assert sorted(round(r.theta, 6) for r in upright.collect()) == [0, 0, round(np.pi / 2, 6)]
+    b, c, s = boxes.first(), np.cos(0.1), np.sin(0.1)
+    assert (b.left, b.top) == pytest.approx((10 * c + 20 * s, 20 * c - 10 * s))
+    assert straighten(boxes_of(spark, [(1, 10.0, 20.0, 5.0, 5.0, "a")]), with_direction(lines.where("line_seq < 2")), 0.01, 0.01, always_rotate=True)[0].first().left == pytest.approx(b.left)
+
+
+def test_folders_without_a_file_system():
+    with pytest.raises(ValueError, match="abfs"):
+        arrow_files("nothere-abfs://x/y")
+
+
 def test_stream(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     (tmp_path / "in/a.xml").write_text(XML)
