@@ -151,12 +151,19 @@ def _arrays(spark, d):
 #: Arrays as text, six digits a number.
 _LIST = "array_to_string(list_transform({}, lambda x: CAST(round(x, 6) AS VARCHAR)), ',')"
 #: Every choice of values to leave out, tried for each page's ``base`` and ``model`` of j; of equals the first in order.
-_MATCH = f"""masks AS (SELECT n, gone FROM (SELECT n, list_filter(range(n), lambda i: (mask >> i) & 1 = 1) AS gone FROM range(1, 9) t(n), range(256) u(mask) WHERE mask < (1 << n))),
- cand AS (SELECT j.*, gone, list_transform(model, lambda x: x + base[1]) AS placed, list_filter(base, lambda x, i: len(base) <= len(model) OR NOT list_contains(gone, i - 1)) AS rest FROM j JOIN masks ON n = greatest(len(base), len(model)) AND len(gone) = abs(len(base) - len(model))),
- cost AS (SELECT *, CASE WHEN len(base) >= len(model) THEN list_sum(list_transform(model, lambda x, i: abs(rest[i] - (x + rest[1])))) ELSE list_sum(list_transform(list_filter(placed, lambda x, i: NOT list_contains(gone, i - 1)), lambda x, i: abs(x - base[i]))) END AS diff FROM cand),
+_MATCH = f"""masks AS (SELECT n, gone FROM (SELECT n, list_filter(range(n), lambda i: (mask >> i) & 1 = 1) AS gone FROM range(1, 15) t(n), range(16384) u(mask) WHERE mask < (1 << n)) WHERE n IN (SELECT greatest(len(base), len(model)) FROM j)),
+ choices AS (SELECT j.*, gone, list_transform(model, lambda x: x + base[1]) AS placed, list_filter(base, lambda x, i: len(base) <= len(model) OR NOT list_contains(gone, i - 1)) AS rest FROM j JOIN masks ON n = greatest(len(base), len(model)) AND len(gone) = abs(len(base) - len(model))),
+ cost AS (SELECT *, CASE WHEN len(base) >= len(model) THEN list_sum(list_transform(model, lambda x, i: abs(rest[i] - (x + rest[1])))) ELSE list_sum(list_transform(list_filter(placed, lambda x, i: NOT list_contains(gone, i - 1)), lambda x, i: abs(x - base[i]))) END AS diff FROM choices),
  best AS (SELECT *, CASE WHEN len(base) >= len(model) THEN rest ELSE list_transform(placed, lambda x, i: CASE WHEN list_contains(gone, i - 1) THEN x ELSE base[i - len(list_filter(gone, lambda g: g < i - 1))] END) END AS out FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY diff, gone) AS k FROM cost) WHERE k = 1)"""
 
 
+#: j: the centres of each page and its document's model, the largest clusters of the centres less their page's first.
+_MODEL = f"""po AS (SELECT {_K}, unnest(base) - base[1] AS norm, generate_subscripts(base, 1) AS i FROM b), po0 AS (SELECT *, norm - lag(norm) OVER (PARTITION BY doc_id ORDER BY norm, page_num, i) AS gap FROM po),
+ po1 AS (SELECT *, sum(CASE WHEN gap >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY norm, page_num, i ROWS UNBOUNDED PRECEDING) AS c FROM po0), f AS (SELECT doc_id, c, median(norm) AS m, count(*) AS n FROM po1 GROUP BY ALL),
+ fm AS (SELECT doc_id, m, max(n) AS n, arg_max(c, (n, -c)) AS c FROM f GROUP BY ALL), md AS (SELECT doc_id, list(m ORDER BY m) AS model FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS k FROM fm) WHERE k <= {{k}} GROUP BY doc_id),
+ j AS (SELECT {_K}, base, model FROM b JOIN md USING (doc_id))"""
+
+
 def _listed(c):
     return F.array_join(F.transform(c, lambda x: F.round(x, 6).cast("string")), ",").alias("positions")
 
@@ -171,11 +178,7 @@ def best_matching_array(spark, d):
 @query(
     f"SELECT {_K}, {_LIST.format('out')} AS positions, diff AS difference FROM best", _COLS,
     f"""pg0 AS (SELECT *, pos - lag(pos) OVER (PARTITION BY {_K} ORDER BY pos, pos_idx) AS gap FROM per), pg1 AS (SELECT *, sum(CASE WHEN gap >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY pos, pos_idx ROWS UNBOUNDED PRECEDING) AS c FROM pg0),
-    pc AS (SELECT {_K}, c, median(pos) AS center FROM pg1 GROUP BY ALL), b AS (SELECT {_K}, list(center ORDER BY c) AS base FROM pc GROUP BY ALL),
-    po AS (SELECT {_K}, unnest(base) - base[1] AS norm, generate_subscripts(base, 1) AS i FROM b), po0 AS (SELECT *, norm - lag(norm) OVER (PARTITION BY doc_id ORDER BY norm, page_num, i) AS gap FROM po),
-    po1 AS (SELECT *, sum(CASE WHEN gap >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY norm, page_num, i ROWS UNBOUNDED PRECEDING) AS c FROM po0), f AS (SELECT doc_id, c, median(norm) AS m, count(*) AS n FROM po1 GROUP BY ALL),
-    fm AS (SELECT doc_id, m, max(n) AS n, arg_max(c, (n, -c)) AS c FROM f GROUP BY ALL), md AS (SELECT doc_id, list(m ORDER BY m) AS model FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS k FROM fm) WHERE k <= 4 GROUP BY doc_id),
-    j AS (SELECT {_K}, base, model FROM b JOIN md USING (doc_id))""", _MATCH,
+    pc AS (SELECT {_K}, c, median(pos) AS center FROM pg1 GROUP BY ALL), b AS (SELECT {_K}, list(center ORDER BY c) AS base FROM pc GROUP BY ALL)""", _MODEL.format(k=4), _MATCH,
 )
 def adjusted_centers(spark, d):
     clustered = C.break_clusters(_columns(spark, d), "pos", 30, order=("pos_idx",))
@@ -650,15 +653,69 @@ def xml_pages(spark, d):
     return parse_pages(_xml(spark, d))
 
 
-@query()
+def _clusters_sql(name: str, source: str, value: str, gap: str, order: str = "box_seq") -> str:
+    """``name``: rows of ``source`` with the cluster of ``value`` on their page."""
+    return f"""{name}0 AS (SELECT *, {value} - lag({value}) OVER (PARTITION BY {_K} ORDER BY {value}, {order}) AS gap FROM {source}),
+    {name} AS (SELECT *, sum(CASE WHEN gap >= {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY {value}, {order} ROWS UNBOUNDED PRECEDING) AS cluster_id FROM {name}0)"""
+
+
+def _grid_sql(columns: str, rows: str) -> str:
+    """grid: from positions (keys, pos) of columns and rows, each counted once."""
+    span = lambda name, source, a, b, i: f"{name} AS (SELECT {_K}, CAST(row_number() OVER w - 1 AS INTEGER) AS {i}, pos AS {a}, lead(pos) OVER w AS {b} FROM {source} WINDOW w AS (PARTITION BY {_K} ORDER BY pos))"
+    return f"{span('cs', columns, 'l', 'r', 'col_idx')}, {span('rs', rows, 't', 'b', 'row_idx')}, grid AS (SELECT {_K}, row_idx, col_idx, l, t, r, b FROM rs JOIN cs USING ({_K}) WHERE r IS NOT NULL AND b IS NOT NULL)"
+
+
+def _table_sql(n: int, cells: str = "cells") -> str:
+    names = R.column_names(n)
+    columns = ", ".join(f"coalesce(max(CASE WHEN col_idx = {i} THEN txt END), '') AS {name}" for i, name in enumerate(names))
+    return f"SELECT {_K}, row_idx, {columns} FROM grid LEFT JOIN {cells} USING ({_K}, row_idx, col_idx) GROUP BY {_K}, row_idx"
+
+
+_CELLS = f"cells AS (SELECT {_K}, row_idx, col_idx, string_agg(value, ' ' ORDER BY \"left\", box_seq) AS txt FROM fitted GROUP BY ALL)"
+_LINED = f"""ln AS (SELECT *, CASE WHEN coalesce(lead(top) OVER w - bottom, 0) >= -avg(bottom - top) OVER (PARTITION BY {_K}, row_idx, col_idx) / 2 THEN 1 ELSE 0 END AS brk FROM fitted WINDOW w AS (PARTITION BY {_K}, row_idx, col_idx ORDER BY top, box_seq)),
+ li AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY {_K}, row_idx, col_idx ORDER BY top, box_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no FROM ln),
+ cells AS (SELECT {_K}, row_idx, col_idx, string_agg(line, chr(10) ORDER BY line_no) AS txt FROM (SELECT {_K}, row_idx, col_idx, line_no, string_agg(value, ' ' ORDER BY "left", top, box_seq) AS line FROM li GROUP BY ALL) GROUP BY ALL)"""
+
+
+_TURNED = _ROTATION.replace("0.012", "0.0087").replace("0.008)", "0.0175)").replace("< 0.008", "< 0.0175")
+
+
+@query(
+    _table_sql(5), V.BOXES, V.PAGES, V.LINES, _TURNED,
+    f"""rlines AS (SELECT l.doc_id, l.page_num, line_seq, rho, dir, CASE WHEN kind = 'r' OR (kind = 'sy' AND dir = 'h') OR (kind = 'sx' AND dir = 'v') THEN theta - radians ELSE theta END AS theta FROM lines l LEFT JOIN rot USING ({_K}) WHERE ({_K}) IN (SELECT ({_K}) FROM pages_v)),
+    rboxes AS (SELECT doc_id, page_num, box_seq, nl AS "left", nt AS top, width, height, nl + width AS "right", nt + height AS bottom, value FROM (SELECT b.*, CASE kind WHEN 'r' THEN cos(-radians) * "left" - sin(-radians) * top WHEN 'sx' THEN "left" - sin(-radians) * (top + height / 2) ELSE "left" END AS nl,
+     CASE kind WHEN 'r' THEN sin(-radians) * "left" + cos(-radians) * top WHEN 'sy' THEN top + sin(-radians) * ("left" + width / 2) ELSE top END AS nt FROM boxes b LEFT JOIN rot USING ({_K})))""",
+    _PROJECT.replace("FROM lines", "FROM rlines"), _AXIS.replace("FROM lines l", "FROM rlines l"),
+    f"""cc AS (SELECT {_K}, cluster_id, median(pos) AS center, median(pos) / (1000.0::DOUBLE / 880) AS c FROM oc GROUP BY ALL), sc AS (SELECT *, lag(c, 1, -1) OVER (PARTITION BY {_K} ORDER BY c, cluster_id) AS lo FROM cc),
+    cn AS (SELECT s.doc_id, s.page_num, cluster_id, center, c, count(CASE WHEN ("left" > lo AND "left" <= c) OR ("right" > lo AND "right" <= c) THEN 1 END) AS n FROM sc s LEFT JOIN rboxes b ON s.doc_id = b.doc_id AND s.page_num = b.page_num GROUP BY ALL),
+    kp AS (SELECT *, n >= round_even(median(n) OVER (PARTITION BY {_K}) * 0.1, 0) AS keep FROM cn),
+    ne AS (SELECT *, lead(keep) OVER w AS nxt, coalesce(bool_or(keep) OVER (PARTITION BY {_K} ORDER BY c, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS earlier FROM kp WINDOW w AS (PARTITION BY {_K} ORDER BY c, cluster_id)),
+    b AS (SELECT {_K}, list(center ORDER BY cluster_id) AS base FROM ne WHERE keep OR (coalesce(nxt, false) AND NOT earlier) GROUP BY ALL)""",
+    _MODEL.format(k=6), _MATCH, f"colp AS (SELECT {_K}, unnest(out) / (1000.0::DOUBLE / 880) AS pos FROM best), ordinary AS (SELECT * FROM (SELECT *, median(height) OVER (PARTITION BY {_K}) AS m FROM rboxes) WHERE abs(height - m) <= m / 2), edge AS (SELECT {_K}, top AS pos FROM ordinary UNION ALL SELECT {_K}, bottom FROM ordinary)",
+    _clusters_sql("eg", "edge", "pos", "2.25", "pos"), f"rowp AS (SELECT {_K}, median(pos) AS pos FROM eg GROUP BY {_K}, cluster_id UNION SELECT {_K}, 1120 FROM rlines)",
+    _grid_sql("colp", "rowp"), _FIT[-1].replace("FROM boxes x", "FROM rboxes x"), _CELLS,
+)
 def pipeline_line_guided(spark, d):
     from .plans.pipelines import line_guided
 
     pages = V.pages(spark, d).join(V.line_pages(spark, d).select(*KEYS), list(KEYS))
-    return line_guided(V.boxes(spark, d), pages, V.lines(spark, d), 5, 20.5, 30, 12)
+    return line_guided(V.boxes(spark, d), pages, V.lines(spark, d), 5, 20.5, 30, 2.25)
 
 
-@query()
+@query(
+    _table_sql(4), V.BOXES, V.PAGES, V.LINES, _PROJECT, _AXIS,
+    f"""sp AS (SELECT {_K}, c / (1000.0::DOUBLE / 880) AS sp FROM (SELECT {_K}, median(pos) AS c, row_number() OVER (PARTITION BY {_K} ORDER BY abs(median(pos) - 500), cluster_id) AS k FROM oc WHERE ({_K}) IN (SELECT ({_K}) FROM pages_v) GROUP BY {_K}, cluster_id) WHERE k = 1),
+    nb AS (SELECT doc_id, page_num AS from_page, 2 * (dense_rank() OVER (PARTITION BY doc_id ORDER BY page_num) - 1) AS before, sp FROM sp),
+    hv AS (SELECT b.*, sp, before, CASE WHEN "left" + width / 2 < sp THEN 0 ELSE 1 END AS side FROM boxes b JOIN nb ON b.doc_id = nb.doc_id AND b.page_num = from_page),
+    half AS (SELECT doc_id, CAST(before + side + 1 AS INTEGER) AS page_num, box_seq, "left" - side * sp AS "left", top, width, height, "left" - side * sp + width AS "right", top + height AS bottom, value FROM hv)""",
+    _clusters_sql("bt", "half", "bottom", "1"), f"bn AS (SELECT {_K}, max(bottom) AS pos FROM bt GROUP BY {_K}, cluster_id)",
+    f"""sn AS (SELECT {_K}, coalesce(lag(pos) OVER (PARTITION BY {_K} ORDER BY pos), 0) AS lo, pos AS hi FROM bn),
+    held AS (SELECT s.doc_id, s.page_num, lo, hi, bool_or(regexp_matches(value, '^c')) AS hit FROM sn s JOIN half b ON s.doc_id = b.doc_id AND s.page_num = b.page_num AND bottom > lo AND bottom <= hi GROUP BY ALL),
+    tb AS (SELECT * FROM (SELECT {_K}, coalesce(lag(hi) OVER (PARTITION BY {_K} ORDER BY hi), 0) AS row_start, hi AS row_end, hit FROM held) WHERE hit), rowp AS (SELECT {_K}, row_start AS pos FROM tb UNION SELECT {_K}, row_end FROM tb),
+    ins AS (SELECT half.* FROM half JOIN (SELECT {_K}, min(row_start) AS lo, max(row_end) AS hi FROM tb GROUP BY ALL) e ON half.doc_id = e.doc_id AND half.page_num = e.page_num AND bottom > lo AND bottom <= hi)""",
+    _clusters_sql("lf", "ins", '"left"', "2.5"), f"""colp AS (SELECT {_K}, c AS pos FROM (SELECT {_K}, median("left") AS c, row_number() OVER (PARTITION BY {_K} ORDER BY count(*) DESC, cluster_id) AS k FROM lf GROUP BY {_K}, cluster_id) WHERE k <= 4 UNION SELECT {_K}, max("right") FROM ins GROUP BY {_K})""",
+    _grid_sql("colp", "rowp"), _FIT[-1].replace("FROM boxes x", "FROM half x"), _LINED,
+)
 def pipeline_double_pages(spark, d):
     from .plans.pipelines import double_pages
 
@@ -666,7 +723,16 @@ def pipeline_double_pages(spark, d):
     return double_pages(V.boxes(spark, d), pages, V.lines(spark, d), 20.5, 2.5, "^c", 4)
 
 
-@query()
+@query(
+    _table_sql(4), V.BOXES, _ROWS,
+    f"""rowp AS (SELECT {_K}, CASE WHEN p IS NULL THEN t ELSE t - (t - p) / 2 END AS pos FROM (SELECT *, lag(b) OVER (PARTITION BY {_K} ORDER BY cluster_id) AS p FROM tr) UNION SELECT {_K}, max(bottom) FROM boxes GROUP BY {_K})""",
+    _clusters_sql("lf", "boxes", '"left"', "3"), f"""ch AS (SELECT {_K}, c AS pos FROM (SELECT {_K}, min("left") AS c, row_number() OVER (PARTITION BY {_K} ORDER BY count(*) DESC, cluster_id) AS k FROM lf GROUP BY {_K}, cluster_id) WHERE k <= 4),
+    c0 AS (SELECT {_K}, pos FROM ch UNION SELECT {_K}, max("right") FROM boxes JOIN (SELECT {_K}, max(pos) AS last FROM ch GROUP BY {_K}) USING ({_K}) WHERE "left" >= last AND "left" < 880 GROUP BY {_K}),
+    c1 AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY pos) AS i, count(*) OVER (PARTITION BY {_K}) AS n, min(pos) OVER (PARTITION BY {_K}) AS start FROM c0), md AS (SELECT doc_id, i, median(pos - start) AS med FROM c1 WHERE n = 5 GROUP BY ALL),
+    c2 AS (SELECT p.doc_id, p.page_num, p.n, p.start, md.i, med, pos FROM (SELECT DISTINCT {_K}, n, start FROM c1) p JOIN md ON p.doc_id = md.doc_id LEFT JOIN c1 ON c1.doc_id = p.doc_id AND c1.page_num = p.page_num AND c1.i = md.i),
+    colp AS (SELECT {_K}, CASE WHEN n <> 5 OR sum(abs(pos - start - med)) OVER (PARTITION BY {_K}) > 10 THEN start + med ELSE pos END AS pos FROM c2)""",
+    _grid_sql("colp", "rowp"), _FIT[-1], _CELLS,
+)
 def pipeline_position_only(spark, d):
     from .plans.pipelines import position_only
 

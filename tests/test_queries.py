@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 SOME = [
     "break_dist_clusters", "mode_ties", "split_sections_keep_empty", "lines_to_text", "rotate_boxes", "renumber_pages", "merge_nearby_h", "merge_small_sections", "fit_grid", "datatable_pivot",
     "page_grid_json", "project_lines", "find_rotation_or_skew", "line_intersect", "rel_levenshtein", "xml_round_trip", "inconsistent_clusters", "best_matching_array", "adjusted_centers",
-    "chi2_adjust_positions", "line_clusters_nonempty", "column_borders", "table_row_borders", "page_images", "image_sizes", "image_lines", "graded_sections", "union_of_tables", "chi2_tails",
+    "pipeline_line_guided", "pipeline_double_pages", "pipeline_position_only", "chi2_adjust_positions", "line_clusters_nonempty", "column_borders", "table_row_borders", "page_images", "image_sizes", "image_lines", "graded_sections", "union_of_tables", "chi2_tails",
 ]
 
 
