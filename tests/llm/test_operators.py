@@ -214,7 +214,7 @@ def test_classifiers_awkward(spark, awkward, module, label):
 def test_prior_estimate():
     g = np.random.default_rng(1)
     pos, neg = g.normal(2, 1, 4000), g.normal(-2, 1, 1200)
-    assert abs(quality.estimate_prior(pos, np.concatenate([g.normal(2, 1, 2800), neg])) - 0.7) < 0.06
+    assert abs(quality.estimate_prior(quality.histogram(pos), quality.histogram(np.concatenate([g.normal(2, 1, 2800), neg]))) - 0.7) < 0.06
 
 
 # ---- fingerprints -------------------------------------------------------------------------------
