@@ -15,10 +15,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.sources.staging import arrow_files
+
 from ._kernels import batch_of
 from ._shared import shared_dir, stored
 
@@ -66,7 +67,7 @@ class Archive:
     """One archive file: gzip members, renamed into place when complete."""
 
     def __init__(self, base: str, part: int):
-        self.files, root = fs.FileSystem.from_uri(base)
+        self.files, root = arrow_files(base)
         self.files.create_dir(root, recursive=True)
         self.path = f"{root}/part-{part:05d}-{uuid.uuid4().hex}.warc.gz"
         self.uri = f"{base}/{self.path.rsplit('/', 1)[1]}"
@@ -197,7 +198,7 @@ def read_records(source) -> Iterator[tuple[dict, dict, Iterator[bytes]]]:
 
 
 def read_warc(manifest: DataFrame, data: bool = True) -> DataFrame:
-    """The chunked record table of the archives in ``manifest``.
+    """The chunked record table of the archives in ``manifest``; an empty manifest gives none, repeated records repeat.
 
     Columns: record_id, page_id, record_type, refers_to, chunk_no, chunk_start, data (null
     unless ``data``), digest (of the payload up to the chunk's end), payload_bytes and declared
@@ -207,7 +208,7 @@ def read_warc(manifest: DataFrame, data: bool = True) -> DataFrame:
     schema = pa.schema(names)
 
     def chunks(path: str) -> Iterator[tuple]:
-        files, at = fs.FileSystem.from_uri(path)
+        files, at = arrow_files(path)
         with files.open_input_stream(at, compression=None) as source:
             for fields, http, pieces in read_records(source):
                 own, refers, size = fields["warc-record-id"], fields.get("warc-refers-to"), int(http["content-length"])
