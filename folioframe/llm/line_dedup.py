@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +43,12 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rows, starts, ends, np.searchsorted(w, ends) - np.searchsorted(w, starts), last
 
 
-def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunks(lines: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash, words) of every chunk, by row and start; bytes without the last line's end.
 
-    A row's last chunk ends with the row, however few its words are.
+    A row's last chunk ends with the row, however few its words are. ``h`` is the prefix hash of the bytes.
     """
-    rows, starts, ends, words, last = _lines(buf, offs)
-    h = prefix_hash(buf)
+    rows, starts, ends, words, last = lines
     line = span_hash(h, starts, ends)
     first = np.concatenate([[True], last[:-1]])
     place = np.arange(len(line)) - np.maximum.accumulate(np.where(first, np.arange(len(line)), 0)) if len(line) else line
@@ -67,13 +67,13 @@ def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rows[head], starts[head], ends[tail], span_hash(h, starts[head], ends[tail]), total[tail + 1] - total[head]
 
 
-def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(lines: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash, words) of every run, by row and start; bytes without the last line's end.
 
     From each line with words the shortest run onwards, and up to it the shortest run before, of
     LEAST_WORDS words or more; runs overlap and begin and end at lines with words.
     """
-    rows, starts, ends, words, _ = _lines(buf, offs)
+    rows, starts, ends, words, _ = lines
     full = words > 0
     rows, starts, ends, words = rows[full], starts[full], ends[full], words[full]
     total = np.concatenate([[0], np.cumsum(words)])
@@ -83,14 +83,15 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     head, tail = np.concatenate([forward, head[back]]), np.concatenate([tail[forward], back])
     inside = rows[head] == rows[tail]
     head, tail = np.divmod(distinct(head[inside] * len(rows) + tail[inside]), max(len(rows), 1))
-    return rows[head], starts[head], ends[tail], span_hash(prefix_hash(buf), starts[head], ends[tail]), total[tail + 1] - total[head]
+    return rows[head], starts[head], ends[tail], span_hash(h, starts[head], ends[tail]), total[tail + 1] - total[head]
 
 
 def pieces(buf: np.ndarray, offs: np.ndarray, passages: bool) -> tuple[np.ndarray, ...]:
     """Chunks, with ``passages`` also runs, of LEAST_WORDS words or more, by row, start and end."""
-    found = chunks(buf, offs)
+    lines, h = _lines(buf, offs), prefix_hash(buf)
+    found = chunks(lines, h)
     if passages:
-        found = tuple(map(np.concatenate, zip(found, runs(buf, offs))))
+        found = tuple(map(np.concatenate, zip(found, runs(lines, h))))
     use = np.flatnonzero(found[4] >= LEAST_WORDS)
     order = use[np.lexsort((found[2][use], found[1][use], found[0][use]))]
     row, start, end = (x[order] for x in found[:3])
@@ -145,11 +146,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(width + 2)
+            batch = batch.filter(batch.column(width + 2).is_valid())  # documents without repeated pieces have no list
             for a, b, buf, offs in slices(batch.column(place).cast(pa.string())):
-                own = wanted.slice(a, b - a)
-                if own.null_count == len(own):
-                    continue
+                own = batch.column(width + 2).slice(a, b - a)
                 row, start, end, h, _ = pieces(buf, offs, passages)
                 signed = h.view(np.int64)
                 use = np.flatnonzero(np.isin(signed, own.flatten().to_numpy()))
@@ -170,44 +169,46 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = pa.schema([("n_chunks_removed", pa.int64()), ("n_chars_removed", pa.int64())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            marked = whole.column(width + 2).is_valid()
+            rest = whole.filter(pc.invert(marked))
+            zero = pa.array(np.zeros(rest.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*rest.columns[:width], zero, zero], [*names, *kept.names])
+            batch = whole.filter(marked)
             for a, b, buf, offs in slices(batch.column(place).cast(pa.string())):
                 own = batch.slice(a, b - a)
                 lists = own.column(width + 2).to_pylist()
                 texts, removed, chars = own.column(place).to_pylist(), [0] * (b - a), [0] * (b - a)
-                if any(lists):
-                    row, start, end, h, _ = pieces(buf, offs, passages)
-                    raw, signed, cut = buf.tobytes(), h.view(np.int64).tolist(), np.searchsorted(row, np.arange(b - a + 1))
-                    for r, marks_of in enumerate(lists):
-                        if not marks_of:
+                row, start, end, h, _ = pieces(buf, offs, passages)
+                raw, signed, cut = buf.tobytes(), h.view(np.int64).tolist(), np.searchsorted(row, np.arange(b - a + 1))
+                for r, marks_of in enumerate(lists):
+                    # copies that begin here or later go; None: the first is still to come and stays
+                    left = {(m["hash"], m["md5"]): None if m["first"] else 0 for m in marks_of}
+                    named = {k[0] for k in left}
+                    gone_spans: list[list[int]] = []
+                    for i in range(cut[r], cut[r + 1]):
+                        if signed[i] not in named:
+                            continue
+                        a_byte, e_byte = int(start[i]), int(end[i])
+                        key = (signed[i], _md5(raw[a_byte:e_byte]))
+                        if key not in left:
                             continue
-                        # copies that begin here or later go; None: the first is still to come and stays
-                        left = {(m["hash"], m["md5"]): None if m["first"] else 0 for m in marks_of}
-                        named = {k[0] for k in left}
-                        gone_spans: list[list[int]] = []
-                        for i in range(cut[r], cut[r + 1]):
-                            if signed[i] not in named:
-                                continue
-                            a_byte, e_byte = int(start[i]), int(end[i])
-                            key = (signed[i], _md5(raw[a_byte:e_byte]))
-                            if key not in left:
-                                continue
-                            if left[key] is None:
-                                left[key] = e_byte
-                            elif a_byte >= left[key]:
-                                if gone_spans and a_byte <= gone_spans[-1][1] + passages:
-                                    gone_spans[-1][1] = max(gone_spans[-1][1], e_byte)
-                                else:
-                                    gone_spans.append([a_byte, e_byte])
-                        parts, at = [], int(offs[r])
-                        for x, y in gone_spans:
-                            if x > at:
-                                parts.append(raw[at : x - 1])
-                            at = y + 1
-                        if at <= offs[r + 1]:
-                            parts.append(raw[at : offs[r + 1]])
-                        texts[r] = b"\n".join(parts).decode()
-                        removed[r], chars[r] = len(gone_spans), sum(len(raw[x:y].decode()) for x, y in gone_spans)
+                        if left[key] is None:
+                            left[key] = e_byte
+                        elif a_byte >= left[key]:
+                            if gone_spans and a_byte <= gone_spans[-1][1] + passages:
+                                gone_spans[-1][1] = max(gone_spans[-1][1], e_byte)
+                            else:
+                                gone_spans.append([a_byte, e_byte])
+                    parts, at = [], int(offs[r])
+                    for x, y in gone_spans:
+                        if x > at:
+                            parts.append(raw[at : x - 1])
+                        at = y + 1
+                    if at <= offs[r + 1]:
+                        parts.append(raw[at : offs[r + 1]])
+                    texts[r] = b"\n".join(parts).decode()
+                    removed[r], chars[r] = len(gone_spans), sum(len(raw[x:y].decode()) for x, y in gone_spans)
                 cols = [own.column(i) if i != place else pa.array(texts, own.schema.field(i).type) for i in range(width)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(chars, pa.int64())], [*names, *kept.names])
 
