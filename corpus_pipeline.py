@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from folioframe.llm._shared import stored, table
+from folioframe.llm._shared import table
 from folioframe.llm.queries import vocabulary
+from folioframe.sources.staging import dropped, shared_dir, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages' result on ``documents``; a stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs

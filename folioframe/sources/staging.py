@@ -27,6 +27,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` as a new table in the shared folder.
 
@@ -61,5 +67,4 @@ class Scratch:
         return written(df, f"{self.folder}/{self.number:03d}-{name}")
 
     def drop(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        dropped(self.spark, self.folder)
