@@ -138,6 +138,16 @@ def image_tags(spark, d):
     return P.parse_pages(P.inject_images(docs, "scan$-{page}.png")).select(*KEYS, "image", "width", "height")
 
 
+@query(f"""SELECT doc_id, CAST(2 * (dense_rank() OVER (PARTITION BY doc_id ORDER BY page_num) - 1) + side + 1 AS INTEGER) AS page_num, CAST(k AS INTEGER) AS font_seq, 'f' || k AS font, CAST(10 + k AS VARCHAR) AS size, 'A&B "' || page_num || '"' AS family, NULL::VARCHAR AS color FROM pages_v, range(0, 3) r(k), (VALUES (0), (1)) s(side)""", V.BOXES, V.PAGES)
+def split_fontspecs(spark, d):
+    """Font specifications written, read, and copied to both halves of split pages."""
+    pages = V.pages(spark, d)
+    fonts = pages.select(*KEYS, F.explode(F.array(*map(F.lit, range(3)))).alias("font_seq")).withColumns({"font": F.concat(F.lit("f"), "font_seq"), "size": (F.col("font_seq") + 10).cast("string"), "family": F.concat(F.lit('A&B "'), "page_num", F.lit('"')), "color": F.lit(None).cast("string")})
+    docs = P.to_xml(pages.select(*KEYS, "width", "height"), V.boxes(spark, d), fonts)
+    numbers = B.renumber_split_pages(pages, pages.select(*KEYS, F.lit(400.0).alias("split_pos")))
+    return P.split_fonts(P.parse_fonts(docs), numbers)
+
+
 @query(f"SELECT {_K}, count(*) AS n_boxes, CAST(sum(length(value)) AS BIGINT) AS n_chars FROM boxes GROUP BY ALL", V.BOXES)
 def xml_files(spark, d):
     """Documents written as files and read from them."""

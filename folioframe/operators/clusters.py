@@ -207,20 +207,21 @@ def adjust_bad_positions(positions: DataFrame, level: float = 0.05, doc: Sequenc
 
 
 def merge_nearby(boxes: DataFrame, direction: str, most_gap: float, most_axis_gap: float, axis_align: str = "center", on_overlap: bool = False, glue: str | None = None) -> DataFrame:
-    """Merge neighbours along an axis: boxes are clustered by their centres on the other axis, then
-    joined while the gap to the box before is at most ``most_gap`` (and not negative, unless ``on_overlap``).
+    """Merge neighbours along an axis: boxes are clustered on the other axis by their centres, or by the edge ``axis_align``
+    names, then joined while the gap to the box before is at most ``most_gap`` (and not negative, unless ``on_overlap``).
 
     A merged box keeps the first one's cross extent and ends where the last one ends. ``out_seq`` gives
-    the order: by axis cluster, then near edge. Only centre alignment is supported.
+    the order: by axis cluster, then near edge.
     """
     low, high, extent = borders(direction)
-    cross, _, cross_extent = borders("v" if direction == "h" else "h")
-    if axis_align != "center":
-        raise ValueError("only axis_align='center' is supported")
+    cross, cross_high, cross_extent = borders("v" if direction == "h" else "h")
+    if axis_align not in ("center", cross, cross_high):
+        raise ValueError(f"axis_align must be 'center', '{cross}' or '{cross_high}'")
+    aligned = F.col(cross) + F.col(cross_extent) / 2 if axis_align == "center" else F.col(axis_align)
     if most_axis_gap < 0:
         raise ValueError("most_axis_gap must not be negative")
     glue = glue if glue is not None else (" " if direction == "h" else "\n")
-    axis = break_clusters(boxes.withColumn("_c", F.col(cross) + F.col(cross_extent) / 2), "_c", most_axis_gap, KEYS, (cross, "box_seq")).withColumnRenamed("cluster_id", "_axis")
+    axis = break_clusters(boxes.withColumn("_c", aligned), "_c", most_axis_gap, KEYS, (cross, "box_seq")).withColumnRenamed("cluster_id", "_axis")
     # ties of the near edge keep the order the axis clusters have
     w = Window.partitionBy(*KEYS, "_axis").orderBy(low, "_c", cross, "box_seq")
     gap = F.col(low) - F.lag(high).over(w)

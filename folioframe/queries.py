@@ -331,11 +331,11 @@ def page_and_area_filter(spark, d):
 
 
 # ---- merging ------------------------------------------------------------------------------------
-def _merge(low: str, high: str, extent: str, cross: str, ext2: str, axis_gap: str, gap: str, glue: str) -> tuple:
+def _merge(low: str, high: str, extent: str, cross: str, ext2: str, axis_gap: str, gap: str, glue: str, axis: str | None = None) -> tuple:
     return (
         f"""SELECT {_K}, arg_min(box_seq, k) AS box_seq, arg_min({low}, k) AS {low}, arg_max({high}, k) AS {high}, arg_max({high}, k) - arg_min({low}, k) AS {extent}, arg_min({cross}, k) AS {cross}, string_agg(value, {glue} ORDER BY k) AS value, CAST(count(*) AS INTEGER) AS n_merged, CAST(row_number() OVER (PARTITION BY {_K} ORDER BY ax, island) - 1 AS INTEGER) AS out_seq FROM i GROUP BY {_K}, ax, island""",
         V.BOXES,
-        f"""a0 AS (SELECT *, {cross} + {ext2} / 2 AS c FROM boxes), a1 AS (SELECT *, c - lag(c) OVER (PARTITION BY {_K} ORDER BY c, {cross}, box_seq) AS g FROM a0),
+        f"""a0 AS (SELECT *, {axis or f'{cross} + {ext2} / 2'} AS c FROM boxes), a1 AS (SELECT *, c - lag(c) OVER (PARTITION BY {_K} ORDER BY c, {cross}, box_seq) AS g FROM a0),
         a AS (SELECT *, sum(CASE WHEN g >= {axis_gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {_K} ORDER BY c, {cross}, box_seq ROWS UNBOUNDED PRECEDING) AS ax FROM a1),
         b AS (SELECT *, row_number() OVER w AS k, {low} - lag({high}) OVER w AS gap FROM a WINDOW w AS (PARTITION BY {_K}, ax ORDER BY {low}, c, {cross}, box_seq)),
         i AS (SELECT *, sum(CASE WHEN gap <= {gap} AND gap >= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY {_K}, ax ORDER BY k ROWS UNBOUNDED PRECEDING) AS island FROM b)""",
@@ -352,6 +352,11 @@ def merge_nearby_v(spark, d):
     return C.merge_nearby(V.boxes(spark, d), "v", 60, 0.4).select(*KEYS, "box_seq", "top", "bottom", "height", "left", "value", "n_merged", "out_seq")
 
 
+@query(*_merge('"left"', '"right"', "width", "top", "height", "1", "40", "' '", "bottom"))
+def merge_nearby_edges(spark, d):
+    return C.merge_nearby(V.boxes(spark, d), "h", 40, 1, axis_align="bottom").select(*KEYS, "box_seq", "left", "right", "width", "top", "value", "n_merged", "out_seq")
+
+
 def _merged(new: str) -> tuple:
     sections = _sections("bottom", "LEFT", 1200)
     return (

@@ -89,14 +89,37 @@ def parse_boxes(docs: DataFrame, page_nums: Sequence[int] | None = None) -> Data
     return docs.select("doc_id", "xml").mapInPandas(run, BOXES).where("width > 0 and height > 0")
 
 
+def parse_fonts(docs: DataFrame, page_nums: Sequence[int] | None = None) -> DataFrame:
+    """(doc_id, page_num, font_seq, font, size, family, color): the font specifications of every page, as text."""
+    wanted = set(page_nums) if page_nums is not None else None
+    schema = "doc_id string, page_num int, font_seq int, font string, size string, family string, color string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (doc, number, seq, *(f.attrib.get(a) for a in ("id", "size", "family", "color")))
+                for doc, xml in zip(pdf["doc_id"], pdf["xml"]) for number, _, page in _pages_of(xml, wanted) for seq, f in enumerate(page.findall("fontspec"))
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "font_seq", "font", "size", "family", "color"])
+
+    return docs.select("doc_id", "xml").mapInPandas(run, schema)
+
+
+def split_fonts(fonts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The font specifications of each page on both of its halves: ``numbers`` has doc_id, from_page, side and page_num."""
+    halves = numbers.select("doc_id", F.col("from_page").alias("_from"), F.col("page_num").alias("_to"))
+    joined = fonts.join(halves, (fonts["doc_id"] == halves["doc_id"]) & (fonts["page_num"] == halves["_from"]))
+    return joined.select(fonts["doc_id"], F.col("_to").alias("page_num"), *(fonts[c] for c in fonts.columns if c not in KEYS))
+
+
 def _escape(text: F.Column | str):
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
 
-def to_xml(pages: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(doc_id, xml): documents built from page and box rows; coordinates are rounded half to even."""
+def to_xml(pages: DataFrame, boxes: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, xml): documents built from page, box and, on wish, font rows; coordinates are rounded half to even."""
     whole = lambda c: F.bround(F.col(c)).cast("long").cast("string")
     attrs = [x for a in ("top", "left", "width", "height") for x in (F.lit(f' {a}="'), whole(a), F.lit('"'))]
     font = F.concat(F.lit(' font="'), _escape(F.col("font")), F.lit('"')) if "font" in boxes.columns else F.lit("")
@@ -104,7 +127,13 @@ def to_xml(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     texts = boxes.select(*KEYS, "box_seq", node.alias("node")).groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_seq", "node"))), lambda x: x["node"]), "\n").alias("nodes"))
     image = F.coalesce(F.concat(F.lit('<image top="0" left="0" width="'), F.col("width").cast("string"), F.lit('" height="'), F.col("height").cast("string"), F.lit('" src="'), _escape(F.col("image")), F.lit('"/>\n')), F.lit("")) if "image" in pages.columns else F.lit("")
     head = F.concat(F.lit('<page number="'), F.col("page_num").cast("string"), F.lit('" width="'), F.col("width").cast("string"), F.lit('" height="'), F.col("height").cast("string"), F.lit('">\n'), image)
-    whole_pages = pages.join(texts, list(KEYS), "left").select("doc_id", "page_num", F.concat(head, F.coalesce("nodes", F.lit("")), F.lit("\n</page>")).alias("page"))
+    if fonts is None:
+        pages = pages.withColumn("_fonts", F.lit(""))
+    else:
+        spec = F.concat(F.lit("<fontspec"), *(F.coalesce(F.concat(F.lit(f' {a}="'), _escape(F.col(c)), F.lit('"')), F.lit("")) for a, c in (("id", "font"), ("size", "size"), ("family", "family"), ("color", "color"))), F.lit("/>\n"))
+        listed = fonts.select(*KEYS, "font_seq", spec.alias("spec")).groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("font_seq", "spec"))), lambda x: x["spec"]), "").alias("_fonts"))
+        pages = pages.join(listed, list(KEYS), "left")
+    whole_pages = pages.join(texts, list(KEYS), "left").select("doc_id", "page_num", F.concat(head, F.coalesce("_fonts", F.lit("")), F.coalesce("nodes", F.lit("")), F.lit("\n</page>")).alias("page"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "page"))), lambda x: x["page"]), "\n")
     return whole_pages.groupBy("doc_id").agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<pdf2xml>\n'), body, F.lit("\n</pdf2xml>")).alias("xml"))
 

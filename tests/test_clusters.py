@@ -151,6 +151,6 @@ def test_adjusted_centers(spark):
 
 def test_merge_nearby_rejects_other_alignments(spark):
     with pytest.raises(ValueError):
-        C.merge_nearby(spark.range(1), "h", 1, 1, axis_align="top")
+        C.merge_nearby(spark.range(1), "h", 1, 1, axis_align="left")
     with pytest.raises(ValueError):
         C.merge_nearby(spark.range(1), "x", 1, 1)
