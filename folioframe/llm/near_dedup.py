@@ -350,7 +350,7 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
             return labels
 
 
-def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(buckets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (key, part, number, node, label, role) of the buckets that are not one component.
 
     Members outside a bucket's largest component probe all its members. Own rows and probing rows are
@@ -360,7 +360,8 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("many"))
     tops = by_label.groupBy("key").agg(F.max(F.struct("many", "label")).alias("top"), F.sum("many").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
     tops = tops.select("key", F.col("top.label").alias("top"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"), F.ceil((F.col("members") - F.col("top.many")) / BLOCK).cast("long").alias("probes"))
-    rows = labelled.join(tops, "key").withColumns({"minor": F.col("label") != F.col("top"), "block": F.pmod(F.xxhash64("node"), "blocks"), "probe": F.pmod(F.xxhash64("node", F.lit(1)), "probes")})
+    # written first: a join of two plain exchanges lets Spark split the rows of a hot bucket
+    rows = labelled.join(scratch.stored(tops, "apart"), "key").withColumns({"minor": F.col("label") != F.col("top"), "block": F.pmod(F.xxhash64("node"), "blocks"), "probe": F.pmod(F.xxhash64("node", F.lit(1)), "probes")})
     meets = """concat(
         transform(filter(sequence(0L, probes - 1), p -> not (minor and p = probe)), p -> named_struct('part', block * probes + p, 'role', if(minor, 5L, 1L))),
         if(minor, transform(sequence(0L, blocks - 1), b -> named_struct('part', b * probes + probe, 'role', if(b = block, 7L, 6L))), array()))"""
@@ -394,7 +395,8 @@ def _assigned(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
     entries = groups.select("node", "sig").mapInArrow(index, "node long, keys array<long>").select("node", F.posexplode("keys").alias("number", "key"))
     full = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("members")).where("first < last")
-    buckets = scratch.stored(entries.join(full.select("key", "members"), "key").select("key", F.col("number").cast("long").alias("number"), "node", "members"), "buckets")
+    full = scratch.stored(full.select("key", "members"), "shared-keys")
+    buckets = scratch.stored(entries.join(full, "key").select("key", F.col("number").cast("long").alias("number"), "node", "members"), "buckets")
 
     nodes = buckets.select("node").distinct()
     wanted = scratch.stored(groups.join(nodes, "node").select(F.col("first").alias("doc"), "anon", "s1", "s2", "node"), "wanted")
@@ -412,7 +414,7 @@ def _assigned(docs: DataFrame, percent: int, size: int) -> DataFrame:
     # then all that is still apart: the likeliest of each member and component, and what is left after those
     marks = sets.select("node", "n", "bits").join(groups.select("node", "sig"), "node")
     for one in (True, False):
-        rows = _apart(buckets, labels).join(marks, "node")
+        rows = _apart(buckets, labels, scratch).join(marks, "node")
         tried = scratch.stored(_candidates(rows, lambda b, one=one: possible_pairs(b, percent, one)), "tried")
         tries = tried.count()
         if not tries:
@@ -426,7 +428,7 @@ def _assigned(docs: DataFrame, percent: int, size: int) -> DataFrame:
             break
     whole = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     least = whole.where("part is not null").groupBy("part").agg(F.min(F.when(~F.col("anon"), F.col("doc"))).alias("least"))
-    out = whole.join(least, "part", "left").withColumn("component", F.when(F.col("part").isNotNull(), F.col("least")).when(~F.col("anon"), F.col("doc")))
+    out = whole.join(scratch.stored(least, "least"), "part", "left").withColumn("component", F.when(F.col("part").isNotNull(), F.col("least")).when(~F.col("anon"), F.col("doc")))
     alone = F.col("component").isNull() & (F.col("part").isNull() | (F.col("node") == F.col("part")))
     out = stored(out.select("doc", "anon", "n", "component", F.when(F.col("anon"), alone).otherwise(F.col("doc") == F.col("component")).alias("kept")), "near-dedup")
     scratch.drop()
