@@ -62,6 +62,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column of op5 that SQL can express: what the ids decode to."""
+    return op5_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -73,6 +83,8 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "fingerprint_edits": fingerprint_edits,
+    "bpe_round_trip": bpe_round_trip,
 }
 _SHINGLES = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
@@ -117,4 +129,7 @@ ORACLES: dict[str, str] = {
     "op8_html": r"""SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(
    regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), '&quot;', '"'), '</?b>', '', 'g'), '&amp;?', '&', 'g'), chr(1)),
    lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)""",
+    "fingerprint_edits": """SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2)) AS edited_sha256
+ FROM (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "bpe_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
 }
