@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schema import KEYS, ROTATION, SKEW_X, SKEW_Y, VERTICAL, borders, check_direction
+from ..sources.staging import staged
 from .boxes import below, marks_of
 from .clusters import Center, break_clusters, center_of, cluster_centers, custom_clusters, nearest_center, steady_clusters
 
@@ -85,6 +86,7 @@ def drop_empty_sections(clustered: DataFrame, boxes: DataFrame, scales: DataFram
     """
     low, high, _ = borders("h" if check_direction(direction) == VERTICAL else "v")
     centers = clustered.groupBy(*KEYS, "cluster_id").agg(center_of(center, "pos").alias("_c")).join(scales.select(*KEYS, "scale"), list(KEYS))
+    centers = staged(centers, "centers")  # a row a cluster, asked for three times
     w = Window.partitionBy(*KEYS).orderBy("_c", "cluster_id")
     secs = centers.withColumn("_c", F.col("_c") / F.col("scale")).withColumn("_i", F.row_number().over(w) - 1)
     # an edge finds its section among the page's sorted centres; a box counts once for each section that has an edge of it
