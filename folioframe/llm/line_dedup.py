@@ -54,7 +54,7 @@ def chunks(lines: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     place = np.arange(len(line)) - np.maximum.accumulate(np.where(first, np.arange(len(line)), 0)) if len(line) else line
     roll = np.zeros(len(line), U64)
     for k in range(WINDOW - 1, -1, -1):  # lines before the row's first count as 0
-        before = np.concatenate([np.zeros(k, U64), line[: len(line) - k]])
+        before = np.concatenate([np.zeros(k, U64), line])[: len(line)]
         roll = mix(roll * U64(0x9E3779B97F4A7C15) + np.where(place >= k, before, U64(0)))
     total = np.concatenate([[0], np.cumsum(words)])
     tail, begun = [], 0

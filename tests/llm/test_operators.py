@@ -569,6 +569,20 @@ def test_passages_awkward(spark, awkward):
     assert got.where("doc_id = 3").first().text is None and line_dedup.dedup_lines(awkward.limit(0), passages=True).count() == 0
 
 
+def test_line_dedup_slices_of_one_line(spark):
+    """A batch or slice may hold a single line, whatever boundaries its hash would choose."""
+    line = prose(12)
+    rows = [(i, line if i % 8 == 5 else prose(rng.randint(10, 20))) for i in range(32)] + [(40, "w" * 1_100_000), (41, "")]
+    for _, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        found = line_dedup.pieces(raw, np.array([0, len(raw)]), True)
+        assert [x.tolist() for x in found[:3]] == ([[0], [0], [len(raw)]] if " " in t else [[], [], []])
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), DOCS)
+    for passages in (False, True):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, passages=passages).collect()}
+        assert got == {i: "" if t == line and i > 5 else t for i, t in rows}
+
+
 # ---- secrets ------------------------------------------------------------------------------------
 def test_secrets_equal_brute_force(spark, awkward):
     texts = ["Password: 'hunter22' token=abc api-key apikey=ABCDEFGH é AKIA" + "A1" * 9 + " " + "0af" * 9, "x" * 50, "ab" * 12, 'SECRET"  :\t', None, "", "api_key = " + "z" * 6 + "; ghp_" + "a" * 36]
