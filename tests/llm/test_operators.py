@@ -211,6 +211,26 @@ def test_classifiers_awkward(spark, awkward, module, label):
         assert module.reject_toxic(awkward, none).columns == awkward.columns
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """A word that only stands in the last of many labelled texts, by the hash of their ids, is learned too."""
+    g = random.Random(5)
+    ids = [r.id for r in spark.range(6400).orderBy(F.xxhash64("id"), "id").collect()]
+    learn = [i for i in ids if zlib.crc32(str(i).encode()) % 3 != 1]
+    rare, held = set(learn[3000:3400]), [i for i in ids if i not in set(learn)][:60]
+    mark = {i: "scum" if i in rare else "idiot" for i in learn[:3400]}
+    rows = []
+    for i in learn + held:
+        words = [g.choice(("tree", "lake", "stone", "cloud", "river", "field")) for _ in range(8)]
+        rows.append((i, " ".join([*words, mark[i] if i in mark else "scum" if i in held[:30] else "quiet"])))
+    assert len(learn) > 3700
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i in mark)) for i in learn], "doc_id long, toxic int")
+    model = toxicity.fit(docs.repartition(5), labels)
+    got = {r.doc_id: (r.predicted, r.score) for r in toxicity.score(docs, model).collect()}
+    assert [got[i][0] for i in held] == [1] * 30 + [0] * 30
+    again = toxicity.fit(docs.repartition(3).orderBy(F.desc("doc_id")), labels.repartition(2))
+    assert np.array_equal(model.emb, again.emb) and np.array_equal(model.cut, again.cut)
+
+
 def test_prior_estimate():
     g = np.random.default_rng(1)
     pos, neg = g.normal(2, 1, 4000), g.normal(-2, 1, 1200)
