@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schema import KEYS, VERTICAL, check_direction
 from ..sources.images import pixels_of
+from ..sources.staging import spread
 from .lines import with_direction
 
 #: Weights of blue, green and red in grey.
@@ -129,21 +130,33 @@ def number_segments(number: int, x: float, y: float) -> list[tuple[float, float,
     return out
 
 
+def with_images(images: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Image rows joined with ``small``, rows of the same pages: by a hash join on ``small``, page by page.
+
+    Spark knows the size of neither side before they are made: left to itself it may send all pixels to the driver as
+    a broadcast, sort them, or give them, as they compress well, to a few tasks.
+    """
+    return spread(images, *KEYS).join(small.hint("shuffle_hash"), list(KEYS), how)
+
+
 def _drawn(images: DataFrame, marks: DataFrame, background: bool) -> DataFrame:
-    """Images with the segments of ``marks`` (keys, ax, ay, bx, by, b, g, r) drawn; images without any are copied."""
-    listed = marks.groupBy(*KEYS).agg(F.collect_list(F.array("ax", "ay", "bx", "by", F.col("b").cast("double"), F.col("g").cast("double"), F.col("r").cast("double"))).alias("marks"))
+    """Images with the segments of ``marks`` (keys, ax, ay, bx, by, b, g, r) drawn; images without any are copied.
+
+    Pixels that the drawing does not show are not read."""
+    listed = spread(marks, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.array("ax", "ay", "bx", "by", F.col("b").cast("double"), F.col("g").cast("double"), F.col("r").cast("double"))).alias("marks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, page, w, h, c, data, marks_of in pdf.itertuples(index=False):
-                base = pixels_of(bytes(data), w, h, c) if background else np.zeros((h, w, 3), np.uint8)
+            for doc, page, w, h, marks_of, *pixels in pdf.itertuples(index=False):
+                base = pixels_of(bytes(pixels[1]), w, h, pixels[0]) if background else np.zeros((h, w, 3), np.uint8)
                 all_marks = [] if marks_of is None else [tuple(m) for m in marks_of]
                 out = draw_segments(base, [m[:4] for m in all_marks], [tuple(int(v) for v in m[4:]) for m in all_marks])
                 rows.append((doc, page, w, h, 3, out.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "page_num", "width", "height", "channels", "data"])
 
-    joined = images.join(listed, list(KEYS), "left").select(*KEYS, "width", "height", "channels", "data", "marks")
+    shown = ("channels", "data") if background else ()
+    joined = with_images(images.select(*KEYS, "width", "height", *shown), listed, "left").select(*KEYS, "width", "height", "marks", *shown)
     return joined.mapInPandas(run, "doc_id string, page_num int, width int, height int, channels int, data binary")
 
 

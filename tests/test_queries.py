@@ -43,3 +43,21 @@ def test_against_sql(spark, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
     assert entry.entry(spark).columns[:3] == ["doc_id", "page_num", "row_idx"]
+
+
+#: Queries over page images: these compress to little, so Spark would give all of them to one task.
+IMAGES = ["image_clusters_drawn"]
+
+
+@pytest.mark.parametrize("name", IMAGES)
+def test_images_against_sql(spark, name):
+    test_against_sql(spark, name)
+
+
+@pytest.mark.parametrize("name", IMAGES)
+def test_images_are_spread(spark, name):
+    """All tasks work on images, which are neither broadcast nor sorted."""
+    df = Q.QUERIES[name](spark, DATA)
+    assert df.rdd.getNumPartitions() >= 4
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
