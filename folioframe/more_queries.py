@@ -241,7 +241,7 @@ def image_lines(spark, d):
 @query(f"SELECT {_K}, 0 AS region_id, round(140.0 / (140 * 40), 6) AS ratio FROM imgs UNION ALL SELECT {_K}, 1, 0.0 FROM imgs", V.LINES, _IMAGES)
 def image_fill_ratio(spark, d):
     images = _ruled(spark, d, horizontal=False)
-    regions = images.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("region_id"), F.lit(a).alias("l"), F.lit(t).alias("t"), F.lit(b).alias("r"), F.lit(u).alias("b")) for k, a, t, b, u in ((0, 10, 0, 50, 140), (1, 0, 0, 10, 20))))).alias("x")).select(*KEYS, "x.*")
+    regions = _listed(spark, d).select(*KEYS, F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("region_id"), F.lit(a).alias("l"), F.lit(t).alias("t"), F.lit(b).alias("r"), F.lit(u).alias("b")) for k, a, t, b, u in ((0, 10, 0, 50, 140), (1, 0, 0, 10, 20))))).alias("x")).select(*KEYS, "x.*")
     return M.fill_ratios(images, regions).select(*KEYS, F.col("region_id").cast("int").alias("region_id"), F.round("ratio", 6).alias("ratio"))
 
 

@@ -207,8 +207,8 @@ def fill_ratios(images: DataFrame, regions: DataFrame) -> DataFrame:
                     rows.append((doc, page, int(k), float((part == 0).mean()) if part.size else None))
             yield pd.DataFrame(rows, columns=["doc_id", "page_num", "region_id", "ratio"])
 
-    listed = regions.groupBy(*KEYS).agg(F.collect_list(F.struct("region_id", "l", "t", "r", "b")).alias("regions"))
-    joined = images.join(listed, list(KEYS)).select(*KEYS, "width", "height", "channels", "data", "regions")
+    listed = spread(regions, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.struct("region_id", "l", "t", "r", "b")).alias("regions"))
+    joined = with_images(images, listed).select(*KEYS, "width", "height", "channels", "data", "regions")
     return joined.mapInPandas(run, "doc_id string, page_num int, region_id long, ratio double")
 
 
