@@ -258,8 +258,7 @@ def image_files(spark, d):
 
 @query(f"SELECT {_K}, side, CASE side WHEN 0 THEN 40 ELSE 60 END AS width, 140 AS height, '0-0-0' AS colour, CASE side WHEN 0 THEN CASE WHEN page_num < 20 THEN 179 ELSE 40 END ELSE CASE WHEN page_num < 20 THEN 60 ELSE 199 END END AS n FROM imgs, (VALUES (0), (1)) s(side)", V.LINES, _IMAGES)
 def image_halves(spark, d):
-    images = _ruled(spark, d)
-    return _colours(M.split_images(images, images.select(*KEYS, F.lit(40.5).alias("split_pos")))).withColumn("n", F.col("n").cast("int"))
+    return _colours(M.split_images(_ruled(spark, d), _listed(spark, d).select(*KEYS, F.lit(40.5).alias("split_pos")))).withColumn("n", F.col("n").cast("int"))
 
 
 @query(f"SELECT {_K}, 100 AS width, 140 AS height, '0-0-255' AS colour, 280 AS n FROM imgs UNION ALL SELECT {_K}, 100, 140, '0-0-0', 13720 FROM imgs", V.LINES, _IMAGES)

@@ -92,7 +92,7 @@ def split_images(images: DataFrame, splits: DataFrame, direction: str = VERTICAL
                     rows.append((doc, page, side, part.shape[1], part.shape[0], 3, part.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "page_num", "side", "width", "height", "channels", "data"])
 
-    joined = images.join(splits.select(*KEYS, "split_pos"), list(KEYS)).select(*KEYS, "width", "height", "channels", "data", "split_pos")
+    joined = with_images(images, spread(splits.select(*KEYS, "split_pos"), *KEYS)).select(*KEYS, "width", "height", "channels", "data", "split_pos")
     return joined.mapInPandas(run, "doc_id string, page_num int, side int, width int, height int, channels int, data binary")
 
 
