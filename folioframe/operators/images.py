@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schema import KEYS, VERTICAL, check_direction
 from ..sources.images import pixels_of
-from ..sources.staging import spread
+from ..sources.staging import bounded_batches, spread
 from .lines import with_direction
 
 #: Weights of blue, green and red in grey.
@@ -20,44 +20,61 @@ GREY = (0.114, 0.587, 0.299)
 
 
 def to_grey(bgr: np.ndarray) -> np.ndarray:
-    return np.rint(bgr.astype(float) @ np.array(GREY))
+    if bgr.strides[2] == 0:  # a widened grey image: the weights sum to one
+        return bgr[:, :, 0]
+    return np.rint(bgr.astype(float) @ np.array(GREY)).astype(np.uint8)
 
 
 def edges(grey: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Canny edges: Sobel gradients, thinning across the edge, hysteresis between two thresholds."""
-    p = np.pad(grey, 1, mode="edge")
-    dx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-    dy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-    m = np.abs(dx) + np.abs(dy)
-    q = np.pad(m, 1)
-    near = {d: q[1 + d[0] : 1 + d[0] + m.shape[0], 1 + d[1] : 1 + d[1] + m.shape[1]] for d in ((0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (-1, -1), (1, -1), (-1, 1))}
-    flat, steep = np.abs(dy) < np.abs(dx) * math.tan(math.pi / 8), np.abs(dy) > np.abs(dx) * math.tan(3 * math.pi / 8)
-    same = dx * dy >= 0
-    before = np.where(flat, near[0, -1], np.where(steep, near[-1, 0], np.where(same, near[-1, -1], near[-1, 1])))
-    after = np.where(flat, near[0, 1], np.where(steep, near[1, 0], np.where(same, near[1, 1], near[1, -1])))
-    thin = (m > before) & (m >= after)
-    weak, out = thin & (m > low), thin & (m > high)
-    while True:
-        grown = np.pad(out, 1)
-        grown = sum(grown[1 + i : grown.shape[0] - 1 + i, 1 + j : grown.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)) > 0
-        grown = (grown & weak) | out
-        if (grown == out).all():
-            return out
-        out = grown
+    """Canny edges: Sobel gradients, thinning across the edge, hysteresis between two thresholds.
+
+    Only gradients are computed for all pixels, the rest for those above a threshold.
+    """
+    p = np.pad(grey.astype(np.int16) if grey.dtype == np.uint8 else grey, 1, mode="edge")
+    across, over = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    dx = across[:-2] + 2 * across[1:-1] + across[2:]
+    dy = over[:, :-2] + 2 * over[:, 1:-1] + over[:, 2:]
+    m = np.pad(np.abs(dx) + np.abs(dy), 1).ravel()
+    width = grey.shape[1] + 2
+    at = np.flatnonzero(m > min(low, high))
+    at = at[(at // width % (grey.shape[0] + 1) > 0) & (at % width % (width - 1) > 0)]  # with a threshold below 0, not the margin
+    inner = (at // width - 1) * (width - 2) + at % width - 1
+    gx, gy, own = dx.ravel()[inner].astype(float), dy.ravel()[inner].astype(float), m[at]
+    flat, steep = np.abs(gy) < np.abs(gx) * math.tan(math.pi / 8), np.abs(gy) > np.abs(gx) * math.tan(3 * math.pi / 8)
+    step = np.where(flat, 1, np.where(steep, width, np.where(gx * gy >= 0, width + 1, width - 1)))
+    thin = (own > m[at - step]) & (own >= m[at + step])
+    out, waiting = np.zeros(m.shape, bool), np.zeros(m.shape, bool)
+    found = at[thin & (own > high)]
+    waiting[at[thin & (own > low)]] = True
+    around = np.array([i * width + j for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while len(found):  # from pixel to pixel, each once
+        out[found], waiting[found] = True, False
+        near = (found[:, None] + around).ravel()
+        found = np.unique(near[waiting[near]])
+    return out.reshape(-1, width)[1:-1, 1:-1]
 
 
 def hough(edge: np.ndarray, rho_step: float, theta_step: float, least_votes: int) -> list[tuple[float, float, int]]:
     """(rho, theta, votes) of local maxima of the line accumulator, most votes first."""
-    y, x = np.nonzero(edge)
+    y, x = (v.astype(float) for v in np.divmod(np.flatnonzero(edge), edge.shape[1]))
     angles = np.arange(0, math.pi - 1e-12, theta_step)
     half = int(round((edge.shape[0] + edge.shape[1]) / rho_step))
-    votes = np.zeros((len(angles) + 2, 2 * half + 3), np.int64)
-    for k, a in enumerate(angles):
-        r = np.rint((x * math.cos(a) + y * math.sin(a)) / rho_step).astype(np.int64) + half + 1
-        votes[k + 1] = np.bincount(r, minlength=votes.shape[1])[: votes.shape[1]]
-    inner = votes[1:-1, 1:-1]
-    top = (inner > least_votes) & (inner > votes[1:-1, :-2]) & (inner >= votes[1:-1, 2:]) & (inner > votes[:-2, 1:-1]) & (inner >= votes[2:, 1:-1])
-    found = [((r - half) * rho_step, float(angles[k]), int(inner[k, r])) for k, r in zip(*np.nonzero(top))]
+    width = 2 * half + 3
+    votes = np.zeros((len(angles) + 2, width), np.int64)
+    block = max((1 << 16) // max(len(x), 1), 1)  # angles at a time
+    for k in range(0, len(angles), block):
+        cos, sin = (np.array([[f(a)] for a in angles[k : k + block]]) for f in (math.cos, math.sin))
+        r = x * cos
+        r += y * sin
+        r /= rho_step
+        r = np.rint(r, out=r).astype(np.int64)
+        r += (half + 1 + width * np.arange(len(cos)))[:, None]
+        votes[k + 1 : k + 1 + len(cos)] = np.bincount(r.ravel(), minlength=width * len(cos)).reshape(-1, width)
+    k, r = np.nonzero(votes[1:-1, 1:-1] > least_votes)
+    k, r = k + 1, r + 1
+    own = votes[k, r]
+    top = (own > votes[k, r - 1]) & (own >= votes[k, r + 1]) & (own > votes[k - 1, r]) & (own >= votes[k + 1, r])
+    found = [((r - 1 - half) * rho_step, float(angles[k - 1]), int(n)) for k, r, n in zip(k[top], r[top], own[top])]
     return sorted(found, key=lambda f: (-f[2], f[1], f[0]))
 
 
@@ -72,6 +89,7 @@ def detect_lines(images: DataFrame, low: float = 50, high: float = 150, rho_step
                 rows += [(doc, page, i, r, t) for i, (r, t, _) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["doc_id", "page_num", "line_seq", "rho", "theta"])
 
+    bounded_batches(images.sparkSession)
     found = images.select(*KEYS, "width", "height", "channels", "data").mapInPandas(run, "doc_id string, page_num int, line_seq int, rho double, theta double")
     return with_direction(found)
 

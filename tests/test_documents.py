@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import boxes as B
 from folioframe.operators import grid as R
-from folioframe.operators.images import detect_lines, draw_line_clusters, draw_lines, draw_positions, fill_ratios, number_segments, split_images
+from folioframe.operators.images import detect_lines, draw_line_clusters, draw_lines, draw_positions, edges, fill_ratios, hough, number_segments, split_images, to_grey
 from folioframe.operators.lines import projected, with_direction
 from folioframe.plans.pipelines import graded_items, straighten
 from folioframe.schema import BOXES, PAGES
@@ -156,3 +156,15 @@ def test_stream(spark, tmp_path):
     query = run_documents(stream_documents(spark, f"{tmp_path}/in"), P.parse_boxes, f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_weak_edges():
+    """Weak pixels count where a chain of them leads to a strong one, through turns and over any length."""
+    grey = np.zeros((40, 60), np.uint8)
+    grey[10:, 5:50] = np.linspace(100, 20, 45).astype(np.uint8)
+    grey[30:, 40:] = 12
+    found = edges(grey, 50, 300)
+    assert found[10, 5:49].any() and found.sum() > (edges(grey, 300, 300)).sum() > 0 and not edges(grey, 1000, 1000).any()
+    assert to_grey(np.array([[[10, 20, 200]]], np.uint8))[0, 0] == round(1.14 + 11.74 + 59.8)
+    colour = np.repeat(grey[:, :, None], 3, 2)
+    assert (edges(to_grey(colour), 50, 300) == found).all() and hough(found, 1.0, np.pi / 180, 20) == hough(edges(grey.astype(float), 50, 300), 1.0, np.pi / 180, 20)
