@@ -271,7 +271,7 @@ def image_positions_drawn(spark, d):
 def image_lines_drawn(spark, d):
     """Three rows of green over the rules of the page: one horizontal line of two, one of which lies on the page's edge."""
     images = _ruled(spark, d)
-    rows = images.select(*KEYS, F.explode(F.array(F.lit(100.0), F.lit(139.0))).alias("y"))
+    rows = _listed(spark, d).select(*KEYS, F.explode(F.array(F.lit(100.0), F.lit(139.0))).alias("y"))
     ends = rows.select(*KEYS, F.lit(0).alias("line_seq"), F.lit("h").alias("dir"), F.lit(0.0).alias("ax"), F.col("y").alias("ay"), F.lit(99.0).alias("bx"), F.col("y").alias("by"))
     return _colours(M.draw_lines(images, ends)).withColumn("n", F.col("n").cast("int"))
 
