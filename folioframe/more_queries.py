@@ -264,7 +264,7 @@ def image_halves(spark, d):
 @query(f"SELECT {_K}, 100 AS width, 140 AS height, '0-0-255' AS colour, 280 AS n FROM imgs UNION ALL SELECT {_K}, 100, 140, '0-0-0', 13720 FROM imgs", V.LINES, _IMAGES)
 def image_positions_drawn(spark, d):
     images = _ruled(spark, d)
-    return _colours(M.draw_positions(images, images.select(*KEYS, (F.col("page_num") + 10.0).alias("pos")), "v", background=False)).withColumn("n", F.col("n").cast("int"))
+    return _colours(M.draw_positions(images, _listed(spark, d).select(*KEYS, (F.col("page_num") + 10.0).alias("pos")), "v", background=False)).withColumn("n", F.col("n").cast("int"))
 
 
 @query(f"SELECT {_K}, 100 AS width, 140 AS height, c AS colour, CAST(n AS INTEGER) AS n FROM (SELECT {_K}, unnest(['0-255-0', '0-0-0']) AS c, unnest([300, 239 - 3]) AS n FROM imgs)", V.LINES, _IMAGES)

@@ -157,11 +157,12 @@ def with_images(images: DataFrame, small: DataFrame, how: str = "inner") -> Data
     return spread(images, *KEYS).join(small.hint("shuffle_hash"), list(KEYS), how)
 
 
-def _drawn(images: DataFrame, marks: DataFrame, background: bool) -> DataFrame:
+def _drawn(images: DataFrame, marks: DataFrame, background: bool, across: str | None = None) -> DataFrame:
     """Images with the segments of ``marks`` (keys, ax, ay, bx, by, b, g, r) drawn; images without any are copied.
 
+    With a direction ``across`` marks have ``pos`` in place of ends and go over the whole image.
     Pixels that the drawing does not show are not read."""
-    listed = spread(marks, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.array("ax", "ay", "bx", "by", F.col("b").cast("double"), F.col("g").cast("double"), F.col("r").cast("double"))).alias("marks"))
+    listed = spread(marks, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.array(*(("pos",) if across else ("ax", "ay", "bx", "by")), F.col("b").cast("double"), F.col("g").cast("double"), F.col("r").cast("double"))).alias("marks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -169,7 +170,8 @@ def _drawn(images: DataFrame, marks: DataFrame, background: bool) -> DataFrame:
             for doc, page, w, h, marks_of, *pixels in pdf.itertuples(index=False):
                 base = pixels_of(bytes(pixels[1]), w, h, pixels[0]) if background else np.zeros((h, w, 3), np.uint8)
                 all_marks = [] if marks_of is None else [tuple(m) for m in marks_of]
-                out = draw_segments(base, [m[:4] for m in all_marks], [tuple(int(v) for v in m[4:]) for m in all_marks])
+                ends = [m[:4] if across is None else (m[0], 0.0, m[0], float(h)) if across == VERTICAL else (0.0, m[0], float(w), m[0]) for m in all_marks]
+                out = draw_segments(base, ends, [tuple(int(v) for v in m[-3:]) for m in all_marks])
                 rows.append((doc, page, w, h, 3, out.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "page_num", "width", "height", "channels", "data"])
 
@@ -205,11 +207,8 @@ def draw_line_clusters(images: DataFrame, clustered: DataFrame, background: bool
 def draw_positions(images: DataFrame, positions: DataFrame, direction: str, background: bool = True) -> DataFrame:
     """Lines over the whole image at ``pos``, in green (horizontal) or red."""
     vertical = check_direction(direction) == VERTICAL
-    sized = positions.join(images.select(*KEYS, "width", "height"), list(KEYS))
-    zero, pos, w, h = F.lit(0.0), F.col("pos"), F.col("width").cast("double"), F.col("height").cast("double")
-    ends = (pos, zero, pos, h) if vertical else (zero, pos, w, pos)
-    own = sized.select(*KEYS, *(e.alias(n) for e, n in zip(ends, ("ax", "ay", "bx", "by"))), F.lit(0).alias("b"), F.lit(0 if vertical else 255).alias("g"), F.lit(255 if vertical else 0).alias("r"))
-    return _drawn(images, own, background)
+    own = positions.select(*KEYS, F.col("pos").cast("double").alias("pos"), F.lit(0).alias("b"), F.lit(0 if vertical else 255).alias("g"), F.lit(255 if vertical else 0).alias("r"))
+    return _drawn(images, own, background, direction)
 
 
 def fill_ratios(images: DataFrame, regions: DataFrame) -> DataFrame:

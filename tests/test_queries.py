@@ -46,7 +46,7 @@ def test_contract(spark):
 
 
 #: Queries over page images: these compress to little, so Spark would give all of them to one task.
-IMAGES = ["image_clusters_drawn", "image_fill_ratio", "image_halves", "image_lines", "image_lines_drawn"]
+IMAGES = ["image_clusters_drawn", "image_fill_ratio", "image_halves", "image_lines", "image_lines_drawn", "image_positions_drawn"]
 
 
 @pytest.mark.parametrize("name", IMAGES)
