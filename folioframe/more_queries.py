@@ -298,14 +298,15 @@ def graded_sections(spark, d):
 
     def pixels(batches):
         for pdf in batches:
-            rows = []
-            for doc, k in pdf.itertuples(index=False):
-                a = np.full((120, 140), 255, np.uint8)
-                for item, top in ((1, 50), (2, 80)):
-                    left = 100 + 20 * (k // item % 2)
-                    a[top + 2 : top + 8, left + 2 : left + 8] = 0
-                rows.append((doc, 1, 140, 120, 1, a.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "width", "height", "channels", "data"])
+            for at in range(0, len(pdf), 500):
+                rows = []
+                for doc, k in pdf[at : at + 500].itertuples(index=False):
+                    a = np.full((120, 140), 255, np.uint8)
+                    for item, top in ((1, 50), (2, 80)):
+                        left = 100 + 20 * (k // item % 2)
+                        a[top + 2 : top + 8, left + 2 : left + 8] = 0
+                    rows.append((doc, 1, 140, 120, 1, a.tobytes()))
+                yield pd.DataFrame(rows, columns=["doc_id", "page_num", "width", "height", "channels", "data"])
 
     def texts(batches):
         for pdf in batches:
@@ -317,6 +318,6 @@ def graded_sections(spark, d):
                 rows += [(doc, 1, i, float(b[0]), float(b[1]), float(b[2]), 10.0, float(b[0] + b[2]), b[1] + 10.0, b[3], None) for i, b in enumerate(own) if b]
             yield pd.DataFrame(rows, columns=BOXES.names)
 
-    images = docs.mapInPandas(pixels, "doc_id string, page_num int, width int, height int, channels int, data binary")
+    images = spread(docs, "doc_id").mapInPandas(pixels, "doc_id string, page_num int, width int, height int, channels int, data binary")
     pages = docs.select("doc_id", F.lit(1).alias("page_num"), F.lit(140).alias("width"), F.lit(120).alias("height"))
     return graded_items(docs.mapInPandas(texts, BOXES), pages, images, "Bewertung", r"\d\.\d", ["A", "B"])

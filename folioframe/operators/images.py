@@ -212,19 +212,26 @@ def draw_positions(images: DataFrame, positions: DataFrame, direction: str, back
 
 
 def fill_ratios(images: DataFrame, regions: DataFrame) -> DataFrame:
-    """(keys, region_id, ratio): the share of black values in each region (keys, region_id, l, t, r, b) of the page image."""
+    """(keys, region_id, ratio): the share of black values in each region (keys, region_id, l, t, r, b) of the page image.
+
+    Where regions have page_width and page_height they are in the page's units and scaled to its image.
+    """
+    page_size = [c for c in ("page_width", "page_height") if c in regions.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, page, w, h, c, data, regions_of in pdf.itertuples(index=False):
                 a = pixels_of(bytes(data), w, h, c)
-                for k, left, t, r, b in (tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in regions_of):
+                for k, left, t, r, b, *size in (tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in regions_of):
+                    if size:
+                        sx, sy = w / size[0], h / size[1]
+                        left, t, r, b = left * sx, t * sy, r * sx, b * sy
                     part = a[int(t) : int(b), int(left) : int(r)]
                     rows.append((doc, page, int(k), float((part == 0).mean()) if part.size else None))
             yield pd.DataFrame(rows, columns=["doc_id", "page_num", "region_id", "ratio"])
 
-    listed = spread(regions, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.struct("region_id", "l", "t", "r", "b")).alias("regions"))
+    listed = spread(regions, *KEYS).groupBy(*KEYS).agg(F.collect_list(F.struct("region_id", "l", "t", "r", "b", *page_size)).alias("regions"))
     joined = with_images(images, listed).select(*KEYS, "width", "height", "channels", "data", "regions")
     return joined.mapInPandas(run, "doc_id string, page_num int, region_id long, ratio double")
 

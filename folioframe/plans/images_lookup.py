@@ -16,9 +16,8 @@ def grades(ticks: DataFrame, images: DataFrame, pages: DataFrame, letters: list[
     many = F.count("*").over(Window.partitionBy(*item))
     paired = ticks.withColumns({"_i": place, "_n": many}).where(F.col("_n") == len(letters))
     paired = paired.withColumn("choice", F.element_at(F.array(*map(F.lit, letters)), F.col("_i")))
-    sized = paired.join(pages.select(*KEYS, F.col("width").alias("_pw"), F.col("height").alias("_ph")), list(KEYS)).join(images.select(*KEYS, F.col("width").alias("_iw"), F.col("height").alias("_ih")), list(KEYS))
-    sx, sy = F.col("_iw") / F.col("_pw"), F.col("_ih") / F.col("_ph")
-    regions = sized.select(*item, F.col("box_seq").cast("long").alias("region_id"), "choice", (F.col("left") * sx).alias("l"), (F.col("top") * sy).alias("t"), (F.col("right") * sx).alias("r"), (F.col("bottom") * sy).alias("b"))
+    sized = paired.join(pages.select(*KEYS, F.col("width").alias("page_width"), F.col("height").alias("page_height")), list(KEYS))
+    regions = sized.select(*item, F.col("box_seq").cast("long").alias("region_id"), "choice", F.col("left").alias("l"), F.col("top").alias("t"), F.col("right").alias("r"), F.col("bottom").alias("b"), "page_width", "page_height")
     grouped = regions.withColumn("group_id", F.struct("section_seq", "item_seq"))
     best = fullest(fill_ratios(images, regions), grouped.select(*KEYS, "group_id", "region_id", "choice"))
     return best.select(*KEYS, "group_id.section_seq", "group_id.item_seq", F.col("choice").alias("grade"))

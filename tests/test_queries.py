@@ -61,3 +61,9 @@ def test_images_are_spread(spark, name):
     assert df.rdd.getNumPartitions() >= 4
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_graded_images_are_made_once(spark):
+    """One run over the images, joined without a sort of them."""
+    plan = Q.QUERIES["graded_sections"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas pixels") == 1 and "ShuffledHashJoin" in plan
